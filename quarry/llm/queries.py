@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, substring_dedup
+from . import line_dedup, mixing, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "text", "dropped_lines")
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_substring_dedup, op4_mixing, op7_line_dedup)
+    f.__name__: f for f in (op3_substring_dedup, op4_mixing, op7_line_dedup, op10_simhash_near_dedup)
 }
 
 SQL: dict[str, str] = {

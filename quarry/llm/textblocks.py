@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 8192
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -27,7 +28,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slice a batch so that each slice holds about ``limit`` bytes of text, and one row at least."""
+    """Slice a batch so that each slice holds about ``limit`` bytes of text, ``BLOCK_ROWS`` rows at most and one at least."""
     if batch.num_rows == 0:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -35,7 +36,7 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
     start = 0
     while start < batch.num_rows:
         before = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
+        end = min(start + BLOCK_ROWS, max(start + 1, int(np.searchsorted(total, before + limit, side="right"))))
         yield batch.slice(start, end - start)
         start = end
 
