@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
 
@@ -219,7 +220,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))
     keep = tuple(c for c in keep if c not in ("n_tokens", "tokens", "round_trip"))
     named = docs.select(*[F.col(c) for c in keep if c != "text"], F.col(text).alias("text"))
-    schema = named.drop("text").schema.add("n_tokens", "bigint").add("tokens", "array<int>").add("round_trip", "boolean")
+    schema = named.drop("text").schema.add("n_tokens", T.LongType()).add("tokens", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
     return named.mapInArrow(_encode_rows(shared, block_bytes), schema)
 
 
@@ -239,4 +240,4 @@ def bpe_decode(encoded: DataFrame, tokens: str = "tokens", keep: tuple[str, ...]
             names = [n for n in batch.schema.names if n != "__tokens"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], [*names, "text"])
 
-    return named.mapInArrow(run, named.drop("__tokens").schema.add("text", "string"))
+    return named.mapInArrow(run, named.drop("__tokens").schema.add("text", T.StringType()))
