@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, simhash, substring_dedup, suffix_dedup
+from . import bpe, fingerprints, line_dedup, mixing, simhash, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "epoch", "start", "take")
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.corpus_containment(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_mixing, op6_bpe, op7_line_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_mixing, op5_document_fingerprints, op6_bpe, op7_line_dedup, op10_simhash_near_dedup)
 }
 
 SQL: dict[str, str] = {
