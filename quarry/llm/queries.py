@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, line_dedup, mixing, simhash, substring_dedup, suffix_dedup
+from . import bpe, fingerprints, langid, line_dedup, mixing, simhash, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "text", "dropped_lines")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_mixing, op5_document_fingerprints, op6_bpe, op7_line_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_mixing, op5_document_fingerprints, op6_bpe, op7_line_dedup, op8_language_id, op10_simhash_near_dedup)
 }
 
 SQL: dict[str, str] = {
