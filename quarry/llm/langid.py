@@ -282,7 +282,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 _SPANS = pa.list_(pa.struct([("words", pa.int32()), ("lang", pa.string())]))
-_SCHEMA = "words bigint, detected string, share double, accepted boolean, spans array<struct<words: int, lang: string>>"
+_SCHEMA = "words bigint, detected string, share double, keep boolean, spans array<struct<words: int, lang: string>>"
 
 
 def _label_rows(shared, min_share: float):
@@ -308,26 +308,26 @@ def _label_rows(shared, min_share: float):
                 others = [c for c in block.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays(
                     [*[block.column(c) for c in others], pa.array(sizes), names.take(pa.array(best, mask=~some)), pa.array(share, mask=~some), pa.array(some & (share >= min_share)), lists],
-                    [*others, "words", "detected", "share", "accepted", "spans"],
+                    [*others, "words", "detected", "share", "keep", "spans"],
                 )
 
     return run
 
 
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, min_share: float = MIN_SHARE, model: Model | None = None) -> DataFrame:
-    """Label the words of every text: (doc_id, words, detected, share, accepted, spans).
+    """Label the words of every text: (doc_id, words, detected, share, keep, spans).
 
     Words are runs of letters, lower-cased. ``spans`` is the text's words in order as
     runs of one language; ``share`` is the mean posterior probability of the language
-    ``detected``, and a document is ``accepted`` if it reaches ``min_share``. A text that
+    ``detected``, and a document is kept (``keep``) if it reaches ``min_share``. A text that
     is null, empty or without a letter has no words, null language and share, empty
-    spans, and is not accepted. Every row is labelled by itself: repeated rows get
+    spans, and is not kept. Every row is labelled by itself: repeated rows get
     equal results, null ids and labels stay null, extra columns are ignored, empty
     input gives empty output.
 
     Without ``model`` one is fitted on ``sample`` labelled documents of the table; if
     none has a label and a word, all languages are null and every row with a letter
-    is accepted, since nothing speaks against it. The model, of fixed size, is broadcast;
+    is kept, since nothing speaks against it. The model, of fixed size, is broadcast;
     nothing is shuffled.
     """
     spark = docs.sparkSession
@@ -335,7 +335,7 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if model is None:
         letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-        return named.select("doc_id", F.lit(0).cast("bigint").alias("words"), F.lit(None).cast("string").alias("detected"), F.lit(None).cast("double").alias("share"), letters.alias("accepted"), F.array().cast("array<struct<words: int, lang: string>>").alias("spans"))
+        return named.select("doc_id", F.lit(0).cast("bigint").alias("words"), F.lit(None).cast("string").alias("detected"), F.lit(None).cast("double").alias("share"), letters.alias("keep"), F.array().cast("array<struct<words: int, lang: string>>").alias("spans"))
     kind = named.schema["doc_id"].dataType.simpleString()
     return named.mapInArrow(_label_rows(spark.sparkContext.broadcast(model), min_share), f"doc_id {kind}, {_SCHEMA}")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, line_dedup, mixing, simhash, substring_dedup, suffix_dedup
+from . import bpe, fingerprints, langid, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_mixing, op5_document_fingerprints, op6_bpe, op7_line_dedup, op8_language_id, op10_simhash_near_dedup)
+    f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_mixing, op5_document_fingerprints, op6_bpe, op7_line_dedup, op8_language_id, op9_quality, op10_simhash_near_dedup)
 }
 
 SQL: dict[str, str] = {
