@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,12 +29,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Table:
-    """A written DataFrame: ``df`` reads it, ``drop()`` deletes its files."""
+    """A written DataFrame: ``df`` reads it, ``drop()`` deletes its files.
+
+    Once it is written nobody needs the shuffles that led to it, so Spark is told
+    to delete them right then rather than when the driver's garbage is collected.
+    """
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/quarry/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(_CLEAN_UP, "false")
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEAN_UP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def size(self) -> int:

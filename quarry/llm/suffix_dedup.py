@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -120,12 +119,6 @@ def _position_rows(threshold: int, seed: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs whose DataFrames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _ranked(pairs: DataFrame, bits: int) -> DataFrame:
     """Sort the pairs (r1, r2), rank them, and keep those that aren't unique: (doc_id, version, pos, rank).
 
@@ -166,7 +159,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     repeat; they are a tenth of the words. Text is shuffled once, to the documents'
     anchors.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("text IS NOT NULL")
     kind = base.schema["doc_id"].dataType.simpleString()
     known = Table(base.select("doc_id", "text_hash", F.regexp_count("text", F.lit(r"\S+")).alias("words")).distinct(), "texts").df.where(F.col("words") >= threshold)
@@ -180,8 +172,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     again = rows.withColumn("one", F.min(place).over(same_name) == F.max(place).over(same_name)).where("NOT one")
     lists = again.groupBy("text_hash").agg(F.collect_set("pos").alias("anchors"))
     found = Table(lists.join(reps, "text_hash"), "anchors")
-    del rows, again, lists
-    _release(spark)
     n = found.df.agg(F.sum(F.size("anchors"))).first()[0] or 0
     bits = max(0, (n * (threshold - threshold // 2) // rows_per_range).bit_length())
 
@@ -196,8 +186,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         if now:
             now.drop()
         now = then
-        pairs = joined = None
-        _release(spark)
         offset = min(length, threshold - length)
         ahead = F.first("rank").over(Window.partitionBy("doc_id", "version").orderBy("pos").rangeBetween(offset, offset))
         pairs = now.df.select("doc_id", "version", "pos", F.col("rank").alias("r1"), ahead.alias("r2")).where("r2 IS NOT NULL")
@@ -206,8 +194,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     group = Window.partitionBy("r1", "r2").orderBy(F.col("doc_id").asc_nulls_last(), "version", "pos")
     firsts = [F.first(c).over(group).alias(f"first_{c}") for c in ("doc_id", "version", "pos")]
     last = pairs.select("doc_id", "version", "pos", F.dense_rank().over(group).alias("place"), *firsts)
-    later = last.where("place > 1").drop("place").distinct()
+    later = last.where("place > 1").drop("place")
+    # rows alike in id and text bring each position twice; a dense rank and the minima and maxima don't mind
     by = ["doc_id", "version", "first_doc_id", "first_version", "shift"]
-    islands = later.withColumn("shift", F.col("pos") - F.col("first_pos")).withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy(*by).orderBy("pos")))
+    islands = later.withColumn("shift", F.col("pos") - F.col("first_pos")).withColumn("island", F.col("pos") - F.dense_rank().over(Window.partitionBy(*by).orderBy("pos")))
     runs = islands.groupBy(*by, "island").agg(F.min("pos").alias("start_word"), (F.max("pos") - F.min("pos") + threshold).alias("words"))
     return runs.select("doc_id", "start_word", "words", "first_doc_id", (F.col("start_word") - F.col("shift")).alias("first_word")).unionByName(whole)
