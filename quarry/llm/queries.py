@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup
+from . import ann, bpe, fingerprints, langid, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_mixing, op5_document_fingerprints, op6_bpe, op7_line_dedup, op8_language_id, op9_quality, op10_simhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_nearest_neighbors, op2_suffix_dedup, op3_substring_dedup, op4_mixing, op5_document_fingerprints,
+        op6_bpe, op7_line_dedup, op8_language_id, op9_quality, op10_simhash_near_dedup,
+    )
 }
 
 SQL: dict[str, str] = {
