@@ -1,4 +1,64 @@
-STAGES = []
+"""A training corpus from raw documents: accept by language, clean, deduplicate, mix, encode.
+
+Each stage is one operator of ``quarry.llm`` and takes all that the stage before it
+kept. Its result is written as Parquet in the shared folder and read back, so that
+a lost executor costs the stage it works on and nothing before it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, langid, line_dedup, mixing, simhash
+from quarry.llm.storage import Table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents of which no language has a clear share of the words, those without a word among them."""
+    return langid.accept(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop each site's boilerplate lines; ``n_chars`` follows the text."""
+    return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the least id, of each group of near duplicates."""
+    return simhash.near_dedup(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents so that the sources meet their shares of the tokens; one that is drawn in several epochs is there as often."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, tokens, round_trip) of the whole texts."""
+    return bpe.bpe_encode(docs, keep=("doc_id", "lang", "source"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("mixture", mixture),
+    ("encode", encode),
+]
+
+#: The first stage, a fitted random field, can't be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the whole of ``documents``; between stages there is a written table, dropped when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        now = Table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            before.drop()
+        docs, before = now.df, now
+    return STAGES[-1][1](spark, docs, sf_dir)
