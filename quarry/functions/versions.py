@@ -9,9 +9,9 @@ from functools import total_ordering
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_VALID = re.compile(r"(?:([0-9]+):)?([0-9][A-Za-z0-9.+~:-]*?|(?=-))(?:-([A-Za-z0-9.+~]*))?", re.ASCII)
+_VALID = r"(?:([0-9]{1,18}):|(?!.*:))([0-9][A-Za-z0-9.+~:\-]*(?=-[^-]*$)|[0-9][A-Za-z0-9.+~:]*|(?=-))(?:-([A-Za-z0-9.+~]*))?"
 #: The same for Columns; the last hyphen begins the revision.
-_JVM = r"^(?:([0-9]{1,18}):)?([0-9][A-Za-z0-9.+~:\-]*?|(?=-))(?:-([A-Za-z0-9.+~]*))?$"
+_JVM = f"^{_VALID}$"
 #: Digits that a number in a version is padded to in sort keys.
 DIGITS = 20
 
@@ -47,15 +47,14 @@ def _order(part: str) -> tuple:
         out.append((tuple([*weights, 1]), int(number or 0)))
     while out and out[-1] == ((1,), 0):
         out.pop()
-    out.append(((1,), 0))
-    return tuple(out)
+    return (*out, ((1,), 0), ((1,), 0))
 
 
 def parse(text: str) -> Version:
     """ValueError for what isn't a version."""
     body = text.strip()
-    found = _VALID.fullmatch(body)
-    if not body or not found or (found[1] and int(found[1]) >= 1 << 63):
+    found = re.fullmatch(_VALID, body)
+    if not body or not found:
         raise ValueError(f"not a version: {text!r}")
     return Version(int(found[1] or 0), found[2], found[3] or "")
 
@@ -65,7 +64,8 @@ def _part_key(part: Column) -> Column:
 
     Numbers are padded and follow the run before them, which ends with "1"; a tilde is
     "0", a letter "2" and itself, any other character "3" and itself. A part that ends
-    compares as one followed by an empty run and zero.
+    compares as one followed by empty runs and zeros; only a first run can be empty, so
+    two of them suffice.
     """
     zero = "0" * DIGITS
     runs = F.regexp_extract_all(part, F.lit(r"([^0-9]*)([0-9]*)"), F.lit(0))
@@ -76,7 +76,7 @@ def _part_key(part: Column) -> Column:
         return F.concat(marks, F.lit("\u0001"), F.lpad(F.regexp_replace(number, "^0+", ""), DIGITS, "0"))
 
     joined = F.array_join(F.transform(F.filter(runs, lambda x: x != ""), run), "")
-    return F.concat(F.regexp_replace(joined, f"(\u0001{zero})+$", ""), F.lit(f"\u0001{zero}"))
+    return F.concat(F.regexp_replace(joined, f"(\u0001{zero})+$", ""), F.lit(f"\u0001{zero}" * 2))
 
 
 def version_struct(text: Column) -> Column:

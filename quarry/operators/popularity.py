@@ -25,7 +25,7 @@ def installations(popcon: DataFrame, owners: DataFrame) -> DataFrame:
 def dependency_names(fields: list[Column]) -> Column:
     """Distinct names in dependency fields, without alternatives' bars, architectures and version bounds."""
     parts = reduce(F.concat, [F.split(F.coalesce(f, F.lit("")), r"[,|]") for f in fields])
-    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.regexp_extract(F.btrim(p), r"^([^\s:(]*)", 1)), lambda n: n != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.regexp_extract(p, r"^\s*([^\s:(]*)", 1)), lambda n: n != ""))
 
 
 def reverse_dependencies(packages: DataFrame, fields: tuple[str, ...] = DEPENDENCIES) -> DataFrame:

@@ -36,7 +36,7 @@ def merge_triggers(requests: DataFrame, shard: str = "shard", ts: str = "ts", la
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = list(state.get[0]) if state.exists else []
         for frame in frames:
-            pending += (frame["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
+            pending += (pd.to_datetime(frame["ts"]).astype("datetime64[us]").astype("int64") / 1e6).tolist()
         pending.sort()
         now = state.getCurrentWatermarkMs() / 1000
         due = []
