@@ -275,10 +275,17 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` labelled documents; None if there is no labelled word."""
+    """Fit on at most ``sample`` labelled documents; None if there is no labelled word.
+
+    The keys of the sample are chosen first, so that tasks send the driver keys
+    rather than texts; then only the chosen texts travel.
+    """
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("key")).where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = known.orderBy("key", "lang", "text").limit(sample).collect()
-    return fit([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    last = known.select("key").orderBy("key").limit(sample).agg(F.max("key")).first()[0]
+    if last is None:
+        return None
+    rows = known.where(F.col("key") <= last).orderBy("key", "lang", "text").limit(sample).collect()
+    return fit([r.text for r in rows], [r.lang for r in rows])
 
 
 _SPANS = pa.list_(pa.struct([("words", pa.int32()), ("lang", pa.string())]))
