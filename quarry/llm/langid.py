@@ -89,6 +89,8 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Posterior label probabilities (words, languages) by forward-backward over each text's words.
 
+    Before a text's first word stands a word of unknown language, each as likely.
+
     Texts are cut into chunks of a fixed number of words. Each chunk's transfer
     matrix is formed for all chunks at once, the matrices are chained along each
     text for the messages at the chunks' borders, and the messages within run for all
