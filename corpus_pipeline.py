@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encode),
 ]
 
-#: The first stage, a fitted random field, can't be expressed in SQL; tests hold run() against a brute-force version.
+#: The first stage, a fitted random field, can't be expressed in SQL. The stages' operators are tested one by one; run() as a whole is not yet held against a brute-force version.
 ORACLE_SQL = None
 
 
