@@ -16,6 +16,8 @@ from .storage import Table
 SIZES = (32, 128, 512)
 #: Leading zero bits that end a chunk before its normal size, and after it.
 BITS = (9, 5)
+#: Above so many holders of a chunk, documents are compared by the patterns of such chunks and not one by one; results don't depend on it.
+HOT = 64
 _WINDOW = 32
 #: One random 32-bit number for each byte value.
 _GEAR = (tb.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -103,15 +105,79 @@ def containment(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("left", "right", F.when(total > 0, shared / total).alias("containment"))
 
 
-def corpus_containment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, int, int] = SIZES, bits: tuple[int, int] = BITS) -> DataFrame:
+def _two_least(ids: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, one, two): the two least values of each key, the second null if there is none."""
+    one = ids.groupBy(key).agg(F.min(value).alias("one"))
+    two = ids.join(one, key).where(F.col(value) > F.col("one")).groupBy(key).agg(F.min(value).alias("two"))
+    return one.join(two, key, "left")
+
+
+def best_holders(shared: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc, best STRUCT<held, minus>) of each document: the most bytes that one other id holds, and that id, negative.
+
+    ``shared`` has (doc STRUCT<doc_id, text_hash>, digests, lengths). Documents with
+    the same shared chunks are one set, and chunks in the same sets are one weight.
+    For weights in at most ``hot`` sets all pairs of sets are summed. The others
+    make a pattern of each set, and patterns are compared instead: a holder that
+    has a rarer weight too gets its pattern's share added to it, and one that has
+    none holds just what its pattern does. So each other holder counts in full.
+    """
+    askers = shared.groupBy("doc").agg(F.xxhash64(F.array_sort(F.collect_list("digests"))).alias("s"), F.sum("lengths").alias("held"))
+    askers = Table(askers, "askers").df
+    several = F.min("s") < F.max("s")  # rows alike in id only hold together what each of them has
+    ids = askers.select(F.col("doc.doc_id").alias("id"), "s").where("id IS NOT NULL").groupBy("id")
+    ids = Table(ids.agg(F.when(several, F.xxhash64(F.lit("id"), "id")).otherwise(F.min("s")).alias("o")), "holders").df
+    a = F.when(F.col("o").isNull(), F.xxhash64(F.lit("none"), "s")).otherwise(F.xxhash64("s", "o")).alias("a")
+    askers = Table(askers.join(ids, F.col("doc.doc_id") == F.col("id"), "left").select("doc", "held", "o", a), "asking").df
+    least = Table(_two_least(ids, "o", "id"), "least").df
+
+    same = F.col("l.doc.text_hash").eqNullSafe(F.col("r.doc.text_hash")) & F.col("l.doc.doc_id").eqNullSafe(F.col("r.doc.doc_id"))
+    sets = Table(shared.alias("l").join(askers.alias("r"), same).select("a", "o", "digests", "lengths").distinct(), "sets").df
+    alike = sets.groupBy("digests").agg(F.bit_xor("a").alias("x"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("k"), F.first("lengths").alias("n"))
+    weights = alike.groupBy("x", "y", "k").agg(F.min("digests").alias("digests"), F.sum("n").alias("w"))
+    sets = Table(sets.join(weights, "digests").select("a", "o", F.col("digests").alias("g"), "w", "k"), "weights").df
+
+    def pattern(of: str, name: str) -> DataFrame:
+        return often.where(F.col(of).isNotNull()).select(of, "g").distinct().groupBy(of).agg(F.xxhash64(F.array_sort(F.collect_list("g"))).alias(name))
+
+    often, seldom = sets.where(F.col("k") > hot), sets.where(F.col("k") <= hot)
+    p, q = Table(pattern("a", "p"), "patterns").df, Table(pattern("o", "q"), "patterns").df
+    asked = often.join(p, "a").select("p", "g", "w").distinct()
+    held = often.join(q, "o").select("q", "g").distinct()
+    overlap = Table(asked.join(held, "g").groupBy("p", "q").agg(F.sum("w").alias("both")), "overlaps").df
+
+    holders = seldom.where("o IS NOT NULL").select(F.col("o").alias("t"), "g").distinct()
+    pairs = seldom.join(holders, "g").where("o IS NULL OR o <> t").groupBy("a", "t").agg(F.sum("w").alias("part"))
+    pairs = pairs.join(p, "a", "left").join(q.withColumnRenamed("o", "t"), "t", "left").join(overlap, ["p", "q"], "left").join(least.withColumnRenamed("o", "t"), "t")
+    rare = pairs.groupBy("a").agg(F.max(F.struct((F.col("part") + F.coalesce("both", F.lit(0))).alias("held"), (-F.col("one")).alias("minus"))).alias("rare"))
+
+    firsts = _two_least(q.join(least, "o").select("q", F.struct(F.col("one").alias("id"), "o").alias("v")), "q", "v")
+    kinds = Table(p.join(askers.select("a", "o").distinct(), "a").join(q, "o", "left").select("a", "o", "p", F.col("q").alias("own")), "kinds").df
+    others = kinds.select("p", "own").distinct().join(overlap, "p").where("own IS NULL OR own <> q").join(firsts, "q")
+    others = others.groupBy("p", "own").agg(F.max(F.struct(F.col("both").alias("held"), (-F.col("one.id")).alias("minus"))).alias("others"))
+    peer = F.when(F.col("one.o") != F.col("o"), F.col("one.id")).otherwise(F.col("two.id"))
+    peers = kinds.join(overlap.withColumnRenamed("q", "own"), ["p", "own"]).join(firsts.withColumnRenamed("q", "own"), "own").select("a", peer.alias("peer"), "both")
+    peers = peers.where("peer IS NOT NULL").select("a", F.struct(F.col("both").alias("held"), (-F.col("peer")).alias("minus")).alias("peers"))
+    k, r = kinds.alias("k"), others.alias("r")
+    others = k.join(r, (F.col("k.p") == F.col("r.p")) & F.col("k.own").eqNullSafe(F.col("r.own"))).select("k.a", "r.others")
+
+    copy = F.when(F.col("one") != F.col("doc.doc_id"), F.col("one")).otherwise(F.col("two"))
+    found = askers.join(least, "o", "left").join(rare, "a", "left").join(others, "a", "left").join(peers, "a", "left")
+    copies = F.when(copy.isNotNull(), F.struct(F.col("held"), (-copy).alias("minus")))
+    return found.select("doc", F.greatest(copies, "rare", "others", "peers").alias("best"))
+
+
+def corpus_containment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, int, int] = SIZES, bits: tuple[int, int] = BITS, all_holders: bool = False) -> DataFrame:
     """Fingerprint every document and measure how much of it the rest of the corpus contains.
 
     Returns (doc_id, digests, lengths, bytes, shared_bytes, containment,
     container_id, container_bytes). ``bytes`` is the length of the chunk set,
     ``shared_bytes`` that of its chunks which another document has too, and
-    ``containment`` their quotient. A chunk's holder is the least id that has it;
-    ``container_id`` is the other document that holds most of this one's bytes (ties:
-    the least id), and ``container_bytes`` how many; both are null if none does.
+    ``containment`` their quotient. With ``all_holders``, ``container_id`` is the other
+    document that holds most of this one's bytes (ties: the least id), and
+    ``container_bytes`` how many; both are null if none holds any. Without it a chunk
+    is credited to the least id that has it and to no other, so the least id of all
+    its chunks has no container, and another's may be too small.
 
     A null text has no row; an empty one has no chunks, 0 bytes and a null
     containment. Rows alike in id and text are one document and give one row; rows
@@ -120,8 +186,9 @@ def corpus_containment(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     ignored; empty input gives no rows.
 
     Every chunk crosses the network once, by digest, as 64 hash bits, its document
-    and its length; what comes back to the documents are only the shared ones. No
-    pairs of documents are formed, so copies by the thousand cost what they weigh.
+    and its length; what comes back to the documents are only the shared ones. Pairs
+    are formed of sets of chunks, not of documents (:func:`best_holders`), so copies
+    by the thousand cost what they weigh.
     """
     prints = Table(fingerprints(docs, doc_id, text, sizes, bits).dropDuplicates(["doc_id", "text_hash"]), "chunks").df
     rows = prints.select("doc_id", "text_hash", F.inline(F.arrays_zip("digests", "lengths")))
@@ -129,11 +196,18 @@ def corpus_containment(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     holder, n = F.min("doc_id").over(same).alias("holder"), F.count(F.lit(1)).over(same).alias("n")
     ids = F.struct("doc_id", "text_hash")
     lone = ((F.min("doc_id").over(same) == F.max("doc_id").over(same)) & (F.count("doc_id").over(same) == F.count(F.lit(1)).over(same))).alias("lone")
-    shared = rows.select(ids.alias("doc"), "lengths", holder, n, lone).where("n > 1 AND NOT coalesce(lone, false)")
-    by_holder = shared.groupBy("doc", "holder").agg(F.sum("lengths").alias("held"))
-    own = F.col("holder").isNull() | F.col("holder").eqNullSafe(F.col("doc.doc_id"))
-    best = F.max(F.when(~own, F.struct(F.col("held"), (-F.col("holder")).alias("minus"))))
-    per_doc = by_holder.groupBy("doc").agg(F.sum("held").alias("shared_bytes"), best.alias("best"))
+    shared = rows.select(ids.alias("doc"), "digests", "lengths", holder, n, lone).where("n > 1 AND NOT coalesce(lone, false)")
+    if all_holders:
+        shared = Table(shared.select("doc", "digests", "lengths"), "shared").df
+        found = best_holders(shared, HOT).alias("f")
+        sums = shared.groupBy("doc").agg(F.sum("lengths").alias("shared_bytes")).alias("t")
+        same_doc = F.col("t.doc.doc_id").eqNullSafe(F.col("f.doc.doc_id")) & (F.col("t.doc.text_hash") == F.col("f.doc.text_hash"))
+        per_doc = sums.join(found, same_doc).select("t.doc", "shared_bytes", "best")
+    else:
+        by_holder = shared.groupBy("doc", "holder").agg(F.sum("lengths").alias("held"))
+        own = F.col("holder").isNull() | F.col("holder").eqNullSafe(F.col("doc.doc_id"))
+        best = F.max(F.when(~own, F.struct(F.col("held"), (-F.col("holder")).alias("minus"))))
+        per_doc = by_holder.groupBy("doc").agg(F.sum("held").alias("shared_bytes"), best.alias("best"))
     total = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)
     joined = prints.alias("p").join(per_doc.alias("s"), F.col("p.doc_id").eqNullSafe(F.col("s.doc.doc_id")) & (F.col("p.text_hash") == F.col("s.doc.text_hash")), "left")
     out = joined.select("p.doc_id", "p.digests", "p.lengths", total.alias("bytes"), F.coalesce("s.shared_bytes", F.lit(0).cast("bigint")).alias("shared_bytes"), "s.best")

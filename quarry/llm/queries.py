@@ -31,7 +31,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.corpus_containment(_table(spark, sf_dir, "documents"))
+    return fingerprints.corpus_containment(_table(spark, sf_dir, "documents"), all_holders=True)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
