@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Consecutive sentences in a span.
 SENTENCES = 3
-#: A span shorter than this many characters says too little to be called a repeat ("The. Of. A.").
+#: The SQL skips spans of fewer characters; the operator hashes spans of any length.
 MIN_CHARS = 50
 
 _BORDER = r"([.!?])([ \t\n\r])|([^ \t\n\r])([ \t]*\n)"
@@ -23,7 +23,7 @@ def _bare(piece: Column) -> Column:
     return F.btrim(piece, F.lit(" \t\n\r"))
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = SENTENCES) -> DataFrame:
     """Runs of sentences to remove: (doc_id, text_hash, runs ARRAY<STRUCT<first, last>>), sentence numbers from 0.
 
     One shuffle by span hash carries 96 hash bits, document and position of each
@@ -37,12 +37,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def span(i: Column) -> Column:
         parts = [F.get(F.col("s"), i + k) for k in range(sentences)]
-        chars = sum((F.coalesce(F.length(p), F.lit(0)) for p in parts[1:]), F.coalesce(F.length(parts[0]), F.lit(0)))
-        return F.when(chars >= min_chars, F.struct(i.cast("int").alias("pos"), F.xxhash64(*parts).alias("h"), F.hash(*parts).alias("g")))
+        return F.struct(i.cast("int").alias("pos"), F.xxhash64(*parts).alias("h"), F.hash(*parts).alias("g"))
 
-    spans = base.where(F.size("s") > 0).select(
-        "doc_id", "text_hash", (size - 1).alias("more"), F.inline(F.filter(F.transform(F.sequence(F.lit(0), F.size("s") - size), span), lambda x: x.isNotNull()))
-    )
+    spans = base.where(F.size("s") > 0).select("doc_id", "text_hash", (size - 1).alias("more"), F.inline(F.transform(F.sequence(F.lit(0), F.size("s") - size), span)))
     rank = F.dense_rank().over(Window.partitionBy("h", "g").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash", "pos"))
     later = spans.withColumn("rank", rank).where("rank > 1").select("doc_id", "text_hash", "pos", "more").distinct()
     of = Window.partitionBy("doc_id", "text_hash").orderBy("pos")
@@ -51,7 +48,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = SENTENCES) -> DataFrame:
     """Remove the sentences that any non-first repeated span of ``sentences`` sentences covers.
 
     A sentence ends after . ! or ? before white space, or at a line end. A text
@@ -66,7 +63,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeats wholly becomes what white space is left, often the empty string.
     Texts without repeats come back unchanged. Empty input gives empty output.
     """
-    runs = repeated_spans(docs, doc_id, text, sentences, min_chars).select(F.struct("*").alias("rep"))
+    runs = repeated_spans(docs, doc_id, text, sentences).select(F.struct("*").alias("rep"))
     rows = docs.select(F.struct("*").alias("row"))
     same = F.col(f"row.`{doc_id}`").eqNullSafe(F.col("rep.doc_id")) & (F.hash(f"row.`{text}`") == F.col("rep.text_hash"))
     joined = rows.join(runs.hint("shuffle_hash"), same, "left")
@@ -80,7 +77,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-#: The same in DuckDB, over ``documents`` (whose ids are unique).
+#: The same in DuckDB, over ``documents`` (whose ids are unique), but for spans of fewer than ``MIN_CHARS`` characters, which it leaves in place.
 SQL = rf"""
 WITH pieces AS (
   SELECT doc_id, string_split(regexp_replace(text, '{_BORDER}', '\1\3' || chr(1) || '\2\4', 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL),
