@@ -14,12 +14,12 @@ from . import textblocks as tb
 from .groups import components
 from .storage import Table
 
-#: Near duplicates differ in at most so many of 128 bits ...
+#: Near duplicates differ in at most so many of 128 bits.
 RADIUS = 24
-#: ... and in the logarithm of their word counts by less than two of these steps.
-LEVEL_STEP = 0.1
-#: Fingerprints in a shard; a task compares two shards.
+#: Fingerprints in a shard, at least; a task compares two shards.
 SHARD_ROWS = 8192
+#: Shards grow with the table, up to so many fingerprints, while there are this many of them or fewer: each goes to all others.
+MOST_SHARD_ROWS, FEW_SHARDS = 131_072, 12
 LEAF = 1024
 
 _APART = np.ones(256, dtype=bool)
@@ -34,7 +34,7 @@ _VANTAGE = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def fingerprint(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 2) uint64 fingerprints and the word-count levels of the texts.
+    """(n, 2) uint64 fingerprints and the levels of the texts: 0, or -9 for one without a word.
 
     Every distinct lower-case word votes with its hash bits; longer words, which
     say more, with up to four votes. A text without a word gets the hash of its
@@ -47,7 +47,7 @@ def fingerprint(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = tb.owners(starts, bounds)
     counts = np.bincount(owner, minlength=n)
     some = counts > 0
-    level[some] = np.floor(np.log(counts[some]) / LEVEL_STEP).astype(np.int32)
+    level[some] = 0
     if not some.all():
         raw, ends_of = tb.flat(texts)
         bare = np.flatnonzero(~some)
@@ -184,6 +184,7 @@ def near_fingerprints(points: DataFrame, radius: int = RADIUS, shard_rows: int =
     va, vb = (F.lit(_signed(v)) for v in _VANTAGE)
     points = points.withColumn("d", F.bit_count(F.col("a").bitwiseXOR(va)) + F.bit_count(F.col("b").bitwiseXOR(vb)))
     cells = [(r.level, r.d, r.n) for r in points.groupBy("level", "d").agg(F.count(F.lit(1)).alias("n")).collect()]
+    shard_rows = max(shard_rows, min(sum(c[2] for c in cells) // FEW_SHARDS, MOST_SHARD_ROWS))
     shards = _shards(cells, shard_rows)
     by_level: dict[int, list[int]] = {}
     for i, s in enumerate(shards):
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Near-duplicate pairs (doc_id, near_id, distance), doc_id < near_id.
 
     Two documents are near if their fingerprints differ in at most ``radius`` of
-    128 bits and their word counts by less than two steps of 10 %. Documents with one
+    128 bits, whatever their lengths. Documents with one
     and the same fingerprint are listed once each, as pairs with the least id among
     them at distance 0, and that id stands for all of them in the pairs with other
     fingerprints; so a group of n exact copies gives n - 1 rows, and all pairs are

@@ -4,10 +4,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import DOCS, prose
 
-from quarry.llm import fingerprints, substring_dedup
+from quarry.llm import fingerprints, simhash, substring_dedup
 
 
 def docs_of(spark, texts, source="s"):
@@ -44,3 +45,18 @@ def test_short_spans_repeat(spark):
     rows = {r.doc_id: (r.text.strip(), r.removed_sentences) for r in substring_dedup.substring_dedup(docs_of(spark, texts)).collect()}
     assert [rows[i][1] for i in range(9)] == [0, 30, 0, 2, 0, 1, 0, 3, 0]
     assert rows[1][0] == "Alpha beta." and rows[3][0] == rows[5][0] == "" and rows[7][0].split() == ["x.", "y."]
+
+
+def test_near_pairs_of_any_length(spark):
+    base = prose("lengths", 100)
+    texts = [base, " ".join([base] * 3), base + " " + prose("appended", 25), " ".join(base.split()[:85])]
+    texts += ["alder birch cedar dogwood elm fir", "alder birch cedar dogwood elm fir elm", prose("other", 100), prose("other", 90), "?!", "?!", "!"]
+    prints = simhash.fingerprint(pa.array(texts))[0]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if simhash.distances(prints[i], prints[j]) <= simhash.RADIUS}
+    group = list(range(len(texts)))
+    for i, j in sorted(want):
+        group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(docs_of(spark, texts)).collect()}
+    assert got == {i: g for i, g in enumerate(group) if group.count(g) > 1}
+    assert got[1] == got[2] == 0 and got[5] == 4
+    assert (0, 1, 0) in {tuple(r) for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
