@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop each site's boilerplate lines; ``n_chars`` follows the text."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return line_dedup.line_dedup(docs, min_pages=line_dedup.REPEATED).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ from .storage import Table
 
 #: A line on more than this share of a site's pages is boilerplate of the site.
 RATIO = 0.02
-#: ... if at least so many pages of the site have it: on a small site any line passes a ratio.
+#: ... if at least so many pages of the site have it; below 250 pages this and not the ratio decides. The SQL has it too.
 MIN_PAGES = 5
+#: The least number of pages on which a line repeats at all; with it the ratio alone decides, as in the query and the pipeline.
+REPEATED = 2
 
 
 def _lines(text: Column) -> Column:
@@ -37,7 +39,7 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", ratio
 
 
 def line_dedup(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Drop from each text the lines that exceed ``ratio`` on its site.
+    """Drop from each text the lines that exceed ``ratio`` on its site and are on ``min_pages`` of its pages.
 
     Returns the columns of ``docs`` with the text replaced, and ``dropped_lines``
     (BIGINT), which replaces an input column of that name. Lines are compared

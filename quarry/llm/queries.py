@@ -40,7 +40,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.line_dedup(docs).select("doc_id", "text", "dropped_lines")
+    return line_dedup.line_dedup(docs, min_pages=line_dedup.REPEATED).select("doc_id", "text", "dropped_lines")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

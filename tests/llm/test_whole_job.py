@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from fixtures import DOCS, prose
 
-from quarry.llm import fingerprints, simhash, substring_dedup
+import corpus_pipeline
+from quarry.llm import fingerprints, queries, simhash, substring_dedup
 
 
 def docs_of(spark, texts, source="s"):
@@ -60,3 +61,13 @@ def test_near_pairs_of_any_length(spark):
     assert got == {i: g for i, g in enumerate(group) if group.count(g) > 1}
     assert got[1] == got[2] == 0 and got[5] == 4
     assert (0, 1, 0) in {tuple(r) for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
+
+
+def test_lines_of_small_sites(spark, tmp_path):
+    pages = [(s, i) for s, n in (("two", 2), ("ten", 10), ("many", 120)) for i in range(n)]
+    rows = [(k, f"menu\npair {i // 2}\nline {i}", "en", s, 0) for k, (s, i) in enumerate(pages)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = [f"line {i}" if n < 100 else f"pair {i // 2}\nline {i}" for n in (2, 10, 120) for i in range(n)]
+    for out in (queries.op7_line_dedup(spark, str(tmp_path)), corpus_pipeline.lines(spark, docs, "")):
+        assert [r.text for r in out.orderBy("doc_id").collect()] == want
