@@ -16,6 +16,9 @@ SMALL_SUFFIXES = tuple(
 )
 MOST_BYTES, MOST_SMALL, LEAST_BYTES, MOST_LINE, MOST_TRIGRAMS = 1 << 30, 65 * 1024, 3, 2000, 20_000
 
+#: Over bytes read as Latin-1: a byte that UTF-8 never has, a continuation after no first byte, a first byte before no continuation.
+_ILLEGAL_PAIR = r"[\xf8-\xff]|(?:^|[\x00-\x7f])[\x80-\xbf]|[\xc0-\xf7](?=[^\x80-\xbf])"
+
 _EXTENSIONS = {"en": ".c", "de": ".py", "fr": ".pl", "es": ".go"}
 
 
@@ -45,7 +48,8 @@ def path_rejection(path: Column, size: Column) -> Column:
     suffix = F.when(F.instr(name, ".") > 0, F.substring_index(name, ".", -1))
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     return (
-        F.when(F.instr(path, "\n") > 0, "newline in path")
+        F.when(~F.is_valid_utf8(path), "illegal UTF-8")
+        .when(F.instr(path, "\n") > 0, "newline in path")
         .when(F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_DIRS))), "directory")
         .when(size > MOST_BYTES, "too large")
         .when(name.isin(*SKIPPED_NAMES), "file name")
@@ -64,6 +68,7 @@ def content_rejection(content: Column, n_trigrams: Column) -> Column:
         F.when(F.octet_length(content) < LEAST_BYTES, "too short")
         .when(F.octet_length(content) > MOST_BYTES, "too large")
         .when((F.coalesce(inner, F.lit(0)) + 1 > MOST_LINE) | (last > MOST_LINE), "long line")
+        .when(F.decode(content.cast("binary"), "ISO-8859-1").rlike(_ILLEGAL_PAIR), "illegal UTF-8")
         .when(n_trigrams > MOST_TRIGRAMS, "too many trigrams")
     )
 
