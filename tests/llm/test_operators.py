@@ -7,7 +7,7 @@ import pytest
 from fixtures import DOCS, prose
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, fingerprints, groups, langid, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup
+from quarry.llm import ann, bpe, fingerprints, groups, langid, line_dedup, mixing, quality, simhash, suffix_dedup
 
 
 def docs_of(spark, texts, source="s"):
@@ -82,26 +82,6 @@ def test_repeated_passages_odd(odd_docs, no_docs):
     assert suffix_dedup.repeated_passages(no_docs).count() == 0
 
 
-# --- 3: substring dedup
-
-
-def test_substring_dedup(spark):
-    s = [f"This is sentence number {i} of the fixture text." for i in range(12)]
-    texts = [" ".join(s[:6]), " ".join([s[9], *s[1:5], s[10]]), " ".join(s[:2] + s[8:9]), " ".join(s[6:9] + s[6:9])]
-    rows = {r.doc_id: (r.text.split(". "), r.removed_sentences) for r in substring_dedup.substring_dedup(docs_of(spark, texts)).collect()}
-    assert [rows[i][1] for i in range(4)] == [0, 4, 0, 3]
-    assert rows[1][0] == [s[9][:-1], s[10]]
-
-
-def test_substring_dedup_odd(odd_docs, no_docs):
-    out = substring_dedup.substring_dedup(odd_docs)
-    assert out.columns == [*odd_docs.columns, "removed_sentences"] and out.count() == odd_docs.count()
-    rows = {(r.doc_id, r.source): r for r in out.collect()}
-    assert rows[2, "b"].text == "" and rows[3, "a"].text is None and rows[4, "a"].text == "" and rows[7, "a"].removed_sentences == 0
-    assert all(r.removed_sentences == 0 for r in out.where("doc_id = 1").collect())
-    assert substring_dedup.substring_dedup(no_docs).count() == 0
-
-
 # --- 4: mixing
 
 

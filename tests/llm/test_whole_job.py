@@ -9,7 +9,7 @@ import pytest
 from fixtures import DOCS, prose
 
 import corpus_pipeline
-from quarry.llm import fingerprints, queries, simhash, substring_dedup
+from quarry.llm import fingerprints, queries, simhash
 
 
 def docs_of(spark, texts, source="s"):
@@ -40,14 +40,6 @@ def test_containers_over_all_pairs(spark, monkeypatch, hot):
     assert got != [(x.doc_id, x.bytes, x.container_bytes, x.container_id) for x in fingerprints.corpus_containment(docs).collect()]
 
 
-def test_short_spans_repeat(spark):
-    junk = " ".join(f"J{i}!!" for i in range(30))
-    texts = [junk, "Alpha beta. " + junk, "Yes. No.", "Yes. No.", "Hm", "Hm", "A. B. C. D.", "x. A. B. C. y.", "A. B. x."]
-    rows = {r.doc_id: (r.text.strip(), r.removed_sentences) for r in substring_dedup.substring_dedup(docs_of(spark, texts)).collect()}
-    assert [rows[i][1] for i in range(9)] == [0, 30, 0, 2, 0, 1, 0, 3, 0]
-    assert rows[1][0] == "Alpha beta." and rows[3][0] == rows[5][0] == "" and rows[7][0].split() == ["x.", "y."]
-
-
 def test_near_pairs_of_any_length(spark):
     base = prose("lengths", 100)
     texts = [base, " ".join([base] * 3), base + " " + prose("appended", 25), " ".join(base.split()[:85])]
