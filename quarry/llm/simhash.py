@@ -19,8 +19,11 @@ RADIUS = 24
 #: Fingerprints in a shard, at least; a task compares two shards.
 SHARD_ROWS = 8192
 #: Shards grow with the table, up to so many fingerprints, while there are this many of them or fewer: each goes to all others.
-MOST_SHARD_ROWS, FEW_SHARDS = 131_072, 12
+MOST_SHARD_ROWS, FEW_SHARDS = 524_288, 12
+#: The tree of shards is laid out by so many fingerprints, those with the least hashes; every fingerprint is placed by it.
+SAMPLE_ROWS = 16_384
 LEAF = 1024
+_ASKED = 256
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = False
@@ -29,8 +32,6 @@ _SECOND = np.uint64(0xD1B54A32D192ED03)
 _LANE = np.uint64(0x0101010101010101)
 #: Words whose byte-wide counters can be added without overflow, at a weight of 4 at most.
 _RUN = 63
-#: The vantage point of the shards, any constant.
-_VANTAGE = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def fingerprint(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +109,8 @@ class VantagePointTree:
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query row, point row, distance) of all that lie within the radius, in pieces."""
         stack = [(self.root, np.arange(len(queries)))]
+        most = max((len(x) for x in self.nodes if not isinstance(x, tuple)), default=0)
+        xor, count = np.empty((_ASKED, most), dtype=np.uint64), np.empty((_ASKED, most), dtype=np.uint8)
         while stack:
             at, asked = stack.pop()
             node = self.nodes[at]
@@ -118,12 +121,13 @@ class VantagePointTree:
                     if len(go):
                         stack.append((child, go))
                 continue
-            a, b = self.points[node, 0], self.points[node, 1]
-            step = max(1, (1 << 19) // max(1, len(node)))
-            for i in range(0, len(asked), step):
-                some = asked[i : i + step]
-                half = np.bitwise_count(queries[some, 0][:, None] ^ a)
-                q, p = np.nonzero(half <= radius)
+            a, b = np.ascontiguousarray(self.points[node, 0]), self.points[node, 1]
+            for i in range(0, len(asked), _ASKED):
+                some = asked[i : i + _ASKED]
+                bits, half = xor[: len(some), : len(node)], count[: len(some), : len(node)]
+                np.bitwise_xor(queries[some, 0][:, None], a, out=bits)
+                np.bitwise_count(bits, out=half)
+                q, p = np.divmod(np.flatnonzero(half <= radius), len(node))
                 d = half[q, p] + np.bitwise_count(queries[some[q], 1] ^ b[p])
                 hit = d <= radius
                 if hit.any():
@@ -134,6 +138,57 @@ def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.bitwise_count(points ^ to).sum(axis=-1, dtype=np.int32)
 
 
+class ShardTree:
+    """A vantage-point tree over shards: which one a fingerprint lies in, and which others may hold one within the radius of it.
+
+    An inner node keeps a vantage point from the sample and the median distance to it. A
+    fingerprint goes down one side, and up to the radius beyond the median it is asked for on the
+    other one too. A leaf that no vantage point can split is cut into parts by hash.
+    """
+
+    def __init__(self, sample: np.ndarray, rows: int, shard_rows: int):
+        self.nodes: list = []
+        self.parts: list[int] = []
+        self._grow(sample, rows / max(1, len(sample)), shard_rows)
+        self.first = np.concatenate(([0], np.cumsum(self.parts)))
+        self.shards = int(self.first[-1])
+
+    def _grow(self, sample: np.ndarray, each: float, shard_rows: int) -> int:
+        here = len(self.nodes)
+        self.nodes.append(None)
+        if len(sample) * each > shard_rows and len(sample) > 1:
+            for vantage in sample[:8]:
+                far = distances(sample, vantage)
+                middle = int(np.median(far))
+                near = far <= middle
+                if 0.1 < near.mean() < 0.9:
+                    self.nodes[here] = (vantage, middle, self._grow(sample[near], each, shard_rows), self._grow(sample[~near], each, shard_rows))
+                    return here
+        self.nodes[here] = len(self.parts)
+        self.parts.append(max(1, round(len(sample) * each / (2 * shard_rows))))
+        return here
+
+    def place(self, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(own shard, (points, shards) whether a shard may hold something within the radius)."""
+        own, reach = np.zeros(len(points), dtype=np.int64), np.zeros((len(points), self.shards), dtype=bool)
+        salt = tb.mix(points[:, 0] ^ points[:, 1])
+        stack = [(0, np.arange(len(points)), np.ones(len(points), dtype=bool))]
+        while stack:
+            at, rows, inside = stack.pop()
+            node = self.nodes[at]
+            if isinstance(node, tuple):
+                vantage, middle, near, far = node
+                d = distances(points[rows], vantage)
+                for child, go, within in ((near, d <= middle + radius, d <= middle), (far, d > middle - radius, d > middle)):
+                    if go.any():
+                        stack.append((child, rows[go], (inside & within)[go]))
+                continue
+            reach[rows, self.first[node] : self.first[node + 1]] = True
+            mine = rows[inside]
+            own[mine] = self.first[node] + (salt[mine] % np.uint64(self.parts[node])).astype(np.int64)
+        return own, reach
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, a, b, level) of the documents that have an id and a text."""
 
@@ -144,151 +199,168 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 signed = np.ascontiguousarray(prints.T).view(np.int64)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(signed[0]), pa.array(signed[1]), pa.array(level)], ["doc_id", "a", "b", "level"])
 
-    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    named = docs.select(F.col(doc_id).try_cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     return named.mapInArrow(run, "doc_id bigint, a bigint, b bigint, level int")
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _shards(cells: list, shard_rows: int) -> list[tuple[int, int, int, int, int]]:
-    """(level, least distance, greatest distance, part, parts): runs of cells of a level with about ``shard_rows`` fingerprints; a cell beyond that is cut in parts."""
-    out = []
-    level, low, high, size = None, 0, 0, 0
-    for cell in sorted(cells):
-        if size and (cell[0] != level or size + cell[2] > shard_rows):
-            out.append((level, low, high, size))
-            size = 0
-        if not size:
-            level, low = cell[0], cell[1]
-        high, size = cell[1], size + cell[2]
-    if size:
-        out.append((level, low, high, size))
-    return [(level, low, high, part, parts) for level, low, high, size in out for parts in [max(1, -(-size // shard_rows))] for part in range(parts)]
-
-
-def near_fingerprints(points: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, links_only: bool = False) -> DataFrame:
-    """All pairs (left, right, distance) of distinct fingerprints within the radius and one level of each other.
-
-    ``points`` has (id, a, b, level). The vantage distances of the fingerprints
-    to one fixed point make cells (level, distance): at most 129 a level, however
-    many fingerprints there are, so the driver can count them, cut them into
-    shards and list the pairs of shards that the triangle bound leaves: those whose
-    distance intervals come within the radius of each other. Each such pair is one
-    group: a vantage-point tree of the one shard, asked for the points of the other.
-    ``links_only`` gives, in place of a group's pairs, a star for each of their
-    connected components, which is all that grouping needs.
+def _asked(points: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(pair, alone, side, id, a, b, w): each fingerprint in its own shard's group and in that of each pair of shards that the bounds leave it."""
+    n = points.count()
+    shard_rows = max(shard_rows, min(n // FEW_SHARDS, MOST_SHARD_ROWS))
+    chosen = points.select("a", "b").orderBy(F.xxhash64("a", "b")).limit(SAMPLE_ROWS).toArrow() if n > shard_rows else None
+    sample = _matrix(chosen) if chosen is not None else np.zeros((0, 2), dtype=np.uint64)
+    tree = points.sparkSession.sparkContext.broadcast(ShardTree(sample, n, shard_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = tree.value.shards
+        for batch in batches:
+            own, reach = tree.value.place(_matrix(batch), radius)
+            reach[np.arange(len(own)), own] = True
+            row, other = np.nonzero(reach)
+            low, high = np.minimum(own[row], other), np.maximum(own[row], other)
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(low * shards + high), pa.array(low == high), pa.array(own[row] > other), *[batch.column(c).take(taken) for c in ("id", "a", "b", "w")]], ["pair", "alone", "side", "id", "a", "b", "w"])
+
+    return points.select("id", "a", "b", "w").mapInArrow(run, "pair bigint, alone boolean, side boolean, id bigint, a bigint, b bigint, w bigint")
+
+
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in "ab"], axis=1)
+
+
+def _hits(table: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, distance) of the pairs within the radius, in pieces: those between the two sides of a group, or those of its only side."""
+    side, prints = table.column("side").to_numpy(), _matrix(table)
+    alone = table.column("alone")[0].as_py()
+    asked, within = (np.arange(len(side)),) * 2 if alone else (np.flatnonzero(side), np.flatnonzero(~side))
+    if not len(asked) or not len(within):
+        return
+    for q, p, d in VantagePointTree(prints[within]).within(prints[asked], radius):
+        q, p = asked[q], within[p]
+        yield (q[q < p], p[q < p], d[q < p]) if alone else (q, p, d)
+
+
+def near_fingerprints(points: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """All pairs (left, right, distance) of the distinct fingerprints ``points`` (id, a, b) within the radius.
+
+    A tree of vantage points cuts the fingerprints into shards; a pair of shards is a
+    group, to which each of the two sends what lies near enough to the other's bounds.
+    A task builds a vantage-point tree of the one and asks it for the other.
     """
-    spark = points.sparkSession
-    va, vb = (F.lit(_signed(v)) for v in _VANTAGE)
-    points = points.withColumn("d", F.bit_count(F.col("a").bitwiseXOR(va)) + F.bit_count(F.col("b").bitwiseXOR(vb)))
-    cells = [(r.level, r.d, r.n) for r in points.groupBy("level", "d").agg(F.count(F.lit(1)).alias("n")).collect()]
-    shard_rows = max(shard_rows, min(sum(c[2] for c in cells) // FEW_SHARDS, MOST_SHARD_ROWS))
-    shards = _shards(cells, shard_rows)
-    by_level: dict[int, list[int]] = {}
-    for i, s in enumerate(shards):
-        by_level.setdefault(s[0], []).append(i)
-    asks, pair = [], 0
-    for i, (level, low, high, _, _) in enumerate(shards):
-        for j in [*by_level[level], *by_level.get(level + 1, [])]:
-            other = shards[j]
-            if j < i or other[1] - high > radius or low - other[2] > radius:
-                continue
-            asks += [(i, pair, 0)] + ([(j, pair, 1)] if i != j else [])
-            pair += 1
-    places = [(level, d, i, part, parts) for i, (level, low, high, part, parts) in enumerate(shards) for d in range(low, high + 1)]
-    place = spark.createDataFrame(places, "level int, d int, shard int, part int, parts int")
-    ask = spark.createDataFrame(asks, "shard int, pair int, side int")
-    placed = points.join(place, ["level", "d"]).where(F.expr("pmod(hash(a, b), parts) = part")).select("id", "a", "b", "shard")
-    tasks = placed.join(ask, "shard").select("pair", "side", "id", "a", "b")
 
     def search(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
         ids = table.column("id").to_numpy()
-        prints = np.stack([table.column(c).to_numpy().view(np.uint64) for c in "ab"], axis=1)
-        asked, within = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
-        alone = not side.any()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(asked) and len(within):
-            for q, p, d in VantagePointTree(prints[within]).within(prints[asked], radius):
-                q, p = asked[q], within[p]
-                keep = q < p if alone else slice(None)
-                found.append((q[keep], p[keep], d[keep]))
-        q, p, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(3))
-        if links_only and len(q):
-            label = np.arange(len(ids))
+        found = [(np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p]), d) for q, p, d in _hits(table, radius)]
+        left, right, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(3))
+        return pa.table({"left": left, "right": right, "distance": d.astype(np.int32)})
+
+    asked = _asked(points.withColumn("w", F.lit(1).cast("bigint")), radius, shard_rows)
+    return asked.groupBy("pair").applyInArrow(search, "left bigint, right bigint, distance int")
+
+
+def near_links(points: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(id, n, root) of the fingerprints ``points`` (id, a, b, w) that have one within the radius, some rows an id.
+
+    Over all rows of an id, ``n`` adds up to the weights of all fingerprints within
+    the radius of it, and edges from id to ``root`` connect what pairs would. The
+    same search as that of :func:`near_fingerprints`, but what leaves a task is at most one
+    row for each fingerprint that entered, however many pairs there are.
+    """
+
+    def search(table: pa.Table) -> pa.Table:
+        ids, w = table.column("id").to_numpy(), table.column("w").to_numpy()
+        n, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        for q, p, _ in _hits(table, radius):
+            np.add.at(n, q, w[p])
+            np.add.at(n, p, w[q])
             while True:
-                before = label.copy()
-                least = np.minimum(label[q], label[p])
-                np.minimum.at(label, q, least)
-                np.minimum.at(label, p, least)
-                label = label[label]
-                if (label == before).all():
+                a, b = root[q], root[p]
+                if (a == b).all():
                     break
-            p = np.flatnonzero(label != np.arange(len(ids)))
-            q, d = label[p], np.zeros(len(p), dtype=np.int32)
-        left, right = np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p])
-        return pa.table({"left": left, "right": right, "distance": d.astype(np.int32)})
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root = root[root]
+        some = np.flatnonzero(n)
+        return pa.table({"id": ids[some], "n": n[some], "root": ids[root[some]]})
+
+    return _asked(points, radius, shard_rows).groupBy("pair").applyInArrow(search, "id bigint, n bigint, root bigint")
+
 
-    return tasks.groupBy("pair").applyInArrow(search, "left bigint, right bigint, distance int")
+def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, a, b, level), and classes of equal fingerprints (a, b, level, first, w): the least id and the number of documents."""
+    prints = Table(fingerprints(docs, doc_id, text).distinct(), "simhash").df
+    return prints, Table(prints.groupBy("a", "b", "level").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("w")), "simhash-classes").df
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, a, b, level, first): first is the least id with that very fingerprint."""
-    prints = fingerprints(docs, doc_id, text)
-    least = prints.groupBy("a", "b", "level").agg(F.min("doc_id").alias("first"), F.collect_set("doc_id").alias("ids"))
-    return Table(least.select("a", "b", "level", "first", F.explode("ids").alias("doc_id")), "simhash").df
+def _points(classes: DataFrame) -> DataFrame:
+    return classes.where("level = 0").select(F.col("first").alias("id"), "a", "b", "w")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Near-duplicate pairs (doc_id, near_id, distance), doc_id < near_id.
 
-    Two documents are near if their fingerprints differ in at most ``radius`` of
-    128 bits, whatever their lengths. Documents with one
-    and the same fingerprint are listed once each, as pairs with the least id among
-    them at distance 0, and that id stands for all of them in the pairs with other
-    fingerprints; so a group of n exact copies gives n - 1 rows, and all pairs are
-    those of ids joined over rows of distance 0.
-
-    The search is exact: no pair within the radius is missed. Rows without an id or
-    a text are in no pair; rows with the same id are one document, which is never
-    paired with itself. An empty text equals any other empty text; texts without a
-    letter or digit are near only if equal. Extra columns are ignored; empty input
-    gives no rows.
+    Documents with one and the same fingerprint are listed once each, as pairs with
+    the least id among them at distance 0, and that id stands for all of them in the
+    pairs with other fingerprints. Cases are those of :func:`near_classes`; where
+    copies differ a little from one another the pairs grow with their number's square, so for
+    large tables that one is the query.
     """
-    known = _classes(docs, doc_id, text)
-    copies = known.where("doc_id <> first").select(F.col("first").alias("doc_id"), F.col("doc_id").alias("near_id"), F.lit(0).alias("distance"))
-    points = known.where("doc_id = first").select(F.col("first").alias("id"), "a", "b", "level")
-    pairs = near_fingerprints(points, radius, shard_rows).where("left <> right")
+    prints, classes = _classes(docs, doc_id, text)
+    copies = prints.join(classes, ["a", "b", "level"]).where("doc_id <> first").select(F.col("first").alias("doc_id"), F.col("doc_id").alias("near_id"), F.lit(0).alias("distance"))
+    pairs = near_fingerprints(_points(classes), radius, shard_rows).where("left <> right")
     return copies.unionByName(pairs.select(F.col("left").alias("doc_id"), F.col("right").alias("near_id"), "distance"))
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, group_id) of the documents that have a near duplicate; group_id is the least id of the connected group.
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, class_id, links) of the documents that have a near duplicate.
+
+    Two documents are near if their fingerprints differ in at most ``radius`` of 128
+    bits, whatever their lengths. ``class_id`` is the least id of those that a chain of
+    near pairs connects, and ``links`` how many documents are near this one, equal
+    ones included; documents without a link have no row. The search is exact: no pair
+    within the radius is missed.
 
-    Cases are those of :func:`near_duplicates`.
+    Ids are whole numbers. Rows with a null id, one that isn't a whole number or a null
+    text are in no class; repeated rows are one document, and so are rows with the same id
+    and several texts: it connects them, and has the links of all of them. An empty text
+    equals any other empty text; texts without a letter or digit are near only if
+    equal; very long texts are fingerprinted whole. Extra columns of any name are
+    ignored; empty input gives no rows.
     """
-    known = _classes(docs, doc_id, text)
-    points = known.where("doc_id = first").select(F.col("first").alias("id"), "a", "b", "level")
-    links = near_fingerprints(points, radius, shard_rows, links_only=True).select("left", "right")
-    copies = known.where("doc_id <> first").select(F.col("first").alias("left"), F.col("doc_id").alias("right"))
-    return components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    prints, classes = _classes(docs, doc_id, text)
+    found = Table(near_links(_points(classes), radius, shard_rows), "simhash-links").df
+    several = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    several = prints.join(several, "doc_id").join(classes, ["a", "b", "level"]).select(F.col("first").alias("left"), F.col("doc_id").alias("right"))
+    group = components(found.where("id <> root").select(F.col("root").alias("left"), F.col("id").alias("right")).unionByName(several))
+    n = found.groupBy("id").agg(F.sum("n").alias("n"))
+    known = classes.join(n, F.col("first") == F.col("id"), "left").drop("id").join(group, F.col("first") == F.col("node"), "left")
+    known = known.select("a", "b", "level", F.coalesce("component", "first").alias("class_id"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("links")).where("links > 0 OR class_id IS NOT NULL")
+    rows = prints.join(Table(known, "simhash-known").df, ["a", "b", "level"])
+    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links")).where("links > 0")
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, group_id) of the documents that have a near duplicate; group_id is the least id of the connected group. Cases are those of :func:`near_classes`."""
+    return near_classes(docs, doc_id, text, radius, shard_rows).select("doc_id", F.col("class_id").alias("group_id"))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The rows of ``docs`` without all but one document (the least id) of each near-duplicate group.
+    """The rows of ``docs`` without all but one document (the least id) of each near-duplicate group, with all their columns.
 
-    Rows without an id or a text stay. Of rows alike in id and text one stays.
-    The ids to drop are written first, so that Spark broadcasts them only if their
-    size is below the session's threshold.
+    Rows without a whole number as id or without a text stay. Of rows alike in id and
+    text one stays; of two texts with one id both or neither. All else is as in
+    :func:`near_classes`: texts of any length count whole, an empty table comes back empty, and
+    columns may have any names. The ids to drop are written first, so that Spark
+    broadcasts them only if their size is below the session's threshold.
     """
-    out = Table(near_groups(docs, doc_id, text, radius, shard_rows).where("doc_id <> group_id").select(F.col("doc_id").alias("__out")), "near-out").df
-    kept = docs.join(out, docs[doc_id] == out["__out"], "left_anti")
-    again = docs.where(docs[doc_id].isNotNull()).groupBy(docs[doc_id].alias("__again")).count().where("count > 1").select("__again")
+    out = Table(near_groups(docs, doc_id, text, radius, shard_rows).where("doc_id <> group_id").select(F.col("doc_id").alias("out")), "near-out").df
+    key = F.col(f"row.`{doc_id}`").try_cast("bigint")
+    rows = docs.select(F.struct("*").alias("row"))
+    kept = rows.join(out, key == F.col("out"), "left_anti")
+    again = rows.select(key.alias("again")).where("again IS NOT NULL").groupBy("again").count().where("count > 1").select("again")
     again = Table(again, "near-again").df
     if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[doc_id] == again["__again"], "left_anti")
-    repeated = kept.join(again, kept[doc_id] == again["__again"], "left_semi").dropDuplicates([doc_id, text])
-    return once.unionByName(repeated)
+        return kept.select("row.*")
+    once = kept.join(again, key == F.col("again"), "left_anti")
+    repeated = kept.join(again, key == F.col("again"), "left_semi").select("row.*").dropDuplicates([doc_id, text])
+    return once.select("row.*").unionByName(repeated)

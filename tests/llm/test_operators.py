@@ -309,21 +309,48 @@ def test_quality_odd(spark, odd_docs, no_docs):
 def test_near_fingerprints_are_exact(spark):
     r = np.random.default_rng(4)
     seeds = r.integers(0, 1 << 63, (60, 2), dtype=np.int64).view(np.uint64)
-    points, levels = [], []
+    points = []
     for i in range(1500):
         p = seeds[i % 60].copy()
         for bit in r.integers(0, 128, r.integers(0, 30)):
             p[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
         points.append(p)
-        levels.append(int(i % 60 % 3))
     x = np.array(points)
-    table = spark.createDataFrame([(i, int(p.view(np.int64)[0]), int(p.view(np.int64)[1]), levels[i]) for i, p in enumerate(points)], "id bigint, a bigint, b bigint, level int")
+    table = spark.createDataFrame([(i, int(p.view(np.int64)[0]), int(p.view(np.int64)[1])) for i, p in enumerate(points)], "id bigint, a bigint, b bigint")
     got = {(r.left, r.right): r.distance for r in simhash.near_fingerprints(table, 24, 200).collect()}
     want = {}
     for i in range(len(x)):
         d = simhash.distances(x[i + 1 :], x[i])
-        want |= {(i, i + 1 + int(j)): int(d[j]) for j in np.flatnonzero(d <= 24) if abs(levels[i] - levels[i + 1 + int(j)]) <= 1}
+        want |= {(i, i + 1 + int(j)): int(d[j]) for j in np.flatnonzero(d <= 24)}
     assert got == want and len(want) > 1000
+    weights = {i: i % 5 + 1 for i in range(len(x))}
+    linked = simhash.near_links(table.withColumn("w", F.col("id") % 5 + 1), 24, 200)
+    sums = {r.id: r.n for r in linked.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    brute = Counter()
+    for i, j in want:
+        brute[i] += weights[j]
+        brute[j] += weights[i]
+    assert sums == dict(brute)
+    stars = {r.node: r.component for r in groups.components(linked.select(F.col("root").alias("left"), F.col("id").alias("right"))).collect()}
+    pairs = {r.node: r.component for r in groups.components(spark.createDataFrame(list(want), "left bigint, right bigint")).collect()}
+    assert stars == pairs
+
+
+@pytest.mark.parametrize("shape", ["spread", "ball", "line"])
+def test_shard_tree_loses_no_pair(shape):
+    r = np.random.default_rng(7)
+    x = r.integers(0, 1 << 63, (3000, 2), dtype=np.int64).view(np.uint64)
+    if shape != "spread":
+        x[:] = x[0]
+        for i in range(len(x)):
+            for bit in r.integers(0, 128, 14) if shape == "ball" else range(i % 60):
+                x[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    tree = simhash.ShardTree(x[:500], len(x), 300)
+    own, reach = tree.place(x, 24)
+    assert tree.shards >= 8 and np.bincount(own, minlength=tree.shards).max() < len(x) / 2
+    for i in range(0, len(x), 7):
+        near = simhash.distances(x, x[i]) <= 24
+        assert reach[i, own[near]].all() and reach[near, own[i]].all()
 
 
 def test_near_dedup(spark):
@@ -335,13 +362,16 @@ def test_near_dedup(spark):
     pairs = sorted((r.doc_id, r.near_id) for r in simhash.near_duplicates(docs).collect())
     assert pairs == [(1, 2), (1, 3), (5, 6)]
     assert sorted(map(tuple, simhash.near_groups(docs).collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
+    assert sorted(map(tuple, simhash.near_classes(docs).collect())) == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (5, 5, 1), (6, 5, 1)]
 
 
 def test_near_dedup_odd(odd_docs, no_docs):
     out = simhash.near_dedup(odd_docs)
     assert out.columns == odd_docs.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter([1, 1, 3, 4, None, 5, 6, 7, 8, 9])
-    assert simhash.near_dedup(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
+    assert simhash.near_dedup(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0 and simhash.near_classes(no_docs).count() == 0
+    named = odd_docs.selectExpr("coalesce(cast(nullif(doc_id, 9) as string), 'nine') AS doc_id", "text", "1 AS out", "2 AS again", "3 AS row")
+    assert Counter(r.doc_id for r in simhash.near_dedup(named).collect()) == Counter(["1", "1", "3", "4", "nine", "nine", "5", "6", "7", "8"])
 
 
 def test_components(spark):
