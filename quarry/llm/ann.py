@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,10 +14,14 @@ from .storage import Table
 #: Neighbours found for each vector.
 K = 10
 #: Edges of a node, width of the beam in searches and while building, and the slack of the pruning rule.
-DEGREE, BEAM, BUILD_BEAM, ALPHA = 24, 72, 48, 1.2
-#: Vectors in a shard, each a graph of its own, and queries that a task puts to one.
-SHARD_ROWS, QUERY_ROWS = 8192, 16384
+DEGREE, BEAM, BUILD_BEAM, ALPHA = 24, 72, 40, 1.2
+#: Vectors in a shard, each a graph of its own: at least so many while there are fewer shards than cores, at most so many beyond.
+SHARD_ROWS, MOST_SHARD_ROWS = 4096, 262_144
+#: Nodes that a search follows at a time.
+EXPAND = 4
 _BATCH = 512
+#: Cells of the table of visited nodes.
+_CELLS = 1 << 25
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -23,36 +29,56 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("...i,...i->...", d, d)
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, norms: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(queries, width) nodes and squared distances, nearest first, -1 where fewer were met.
 
     Greedy search: each query keeps the ``width`` nearest nodes met so far and
-    always follows the edges of the nearest that it hasn't followed yet, until none is
-    left. All queries of the batch take a step together.
+    always follows the edges of the nearest that it hasn't followed yet, a few at
+    a time, until none is left. All queries of the batch take a step together, and a
+    distance is computed once for each node that a query meets.
     """
-    m = len(queries)
-    node, dist, seen = np.full((m, width), -1, dtype=np.int64), np.full((m, width), np.inf, dtype=np.float32), np.ones((m, width), dtype=bool)
-    node[:, 0], dist[:, 0], seen[:, 0] = entry, _squared(x[entry], queries), False
+    m, n = len(queries), len(x)
+    node, dist, fresh = np.full((m, width), -1, dtype=np.int64), np.full((m, width), np.inf, dtype=np.float32), np.zeros((m, width), dtype=bool)
+    own = np.einsum("ij,ij->i", queries, queries)
+    node[:, 0], dist[:, 0], fresh[:, 0] = entry, _squared(x[entry], queries), True
+    visited = np.zeros((m, n), dtype=bool)
+    visited[:, entry] = True
     live = np.arange(m)
     while len(live):
-        spot = np.where(seen[live], np.inf, dist[live]).argmin(axis=1)
-        at = node[live, spot]
-        seen[live, spot] = True
-        next_node = edges[at]
-        known = (next_node[:, :, None] == node[live][:, None, :]).any(axis=2) | (next_node < 0)
-        d = _squared(x[next_node], queries[live][:, None, :])
-        d[known] = np.inf
-        all_d = np.concatenate([dist[live], d], axis=1)
-        order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
-        dist[live] = np.take_along_axis(all_d, order, axis=1)
-        node[live] = np.take_along_axis(np.concatenate([node[live], next_node], axis=1), order, axis=1)
-        seen[live] = np.take_along_axis(np.concatenate([seen[live], known], axis=1), order, axis=1) | np.isinf(dist[live])
-        live = live[~seen[live].all(axis=1)]
+        ahead = np.where(fresh[live], dist[live], np.inf)
+        pick = np.argpartition(ahead, EXPAND, axis=1)[:, :EXPAND] if width > EXPAND else np.broadcast_to(np.arange(width), ahead.shape)
+        some = np.isfinite(np.take_along_axis(ahead, pick, axis=1))
+        row, place = np.nonzero(some)
+        at = pick[row, place]
+        fresh[live[row], at] = False
+        target = edges[node[live[row], at]]
+        row = np.repeat(row, target.shape[1])
+        target = target.ravel()
+        new = target >= 0
+        row, target = row[new], target[new]
+        new = ~visited[live[row], target]
+        key = np.sort(row[new] * n + target[new])
+        row, target = np.divmod(key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key, n)
+        if len(row):
+            visited[live[row], target] = True
+            d = norms[target] + own[live[row]] - 2 * np.einsum("ij,ij->i", x[target], queries[live[row]])
+            counts = np.bincount(row, minlength=len(live))
+            pad_d, pad_n = np.full((len(live), counts.max()), np.inf, dtype=np.float32), np.full((len(live), counts.max()), -1, dtype=np.int64)
+            spot = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            pad_d[row, spot], pad_n[row, spot] = d, target
+            all_d = np.concatenate([dist[live], pad_d], axis=1)
+            order = np.argpartition(all_d, width - 1, axis=1)[:, :width]
+            dist[live] = np.take_along_axis(all_d, order, axis=1)
+            node[live] = np.take_along_axis(np.concatenate([node[live], pad_n], axis=1), order, axis=1)
+            fresh[live] = np.take_along_axis(np.concatenate([fresh[live], np.isfinite(pad_d)], axis=1), order, axis=1)
+        live = live[fresh[live].any(axis=1)]
+    order = np.argsort(dist, axis=1, kind="stable")
+    node, dist = np.take_along_axis(node, order, axis=1), np.take_along_axis(dist, order, axis=1)
     node[np.isinf(dist)] = -1
     return node, dist
 
 
-def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+def robust_prune(x: np.ndarray, norms: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """(points, degree) neighbours from (points, c) candidates, -1 for none.
 
     The nearest candidate becomes a neighbour and strikes out all that are ``alpha``
@@ -62,27 +88,23 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degr
     m = len(points)
     out = np.full((m, degree), -1, dtype=np.int64)
     ordered = np.sort(candidates, axis=1)
-    again = np.zeros_like(ordered, dtype=bool)
-    again[:, 1:] = ordered[:, 1:] == ordered[:, :-1]
-    ordered[again | (ordered == points[:, None])] = -1
-    vectors = x[ordered]
-    d = _squared(vectors, x[points][:, None, :])
-    d[ordered < 0] = np.inf
-    by = np.argsort(d, axis=1, kind="stable")
-    ordered, d = np.take_along_axis(ordered, by, axis=1), np.take_along_axis(d, by, axis=1)
-    vectors = np.take_along_axis(vectors, by[:, :, None], axis=1)
-    norm = np.einsum("mci,mci->mc", vectors, vectors)
-    between = np.maximum(norm[:, :, None] + norm[:, None, :] - 2 * (vectors @ vectors.transpose(0, 2, 1)), 0)
-    alive = np.isfinite(d)
+    void = ordered == points[:, None]
+    void[:, 1:] |= ordered[:, 1:] == ordered[:, :-1]
+    void |= ordered < 0
+    vectors, norm = x[ordered], norms[ordered]
+    d = np.maximum(norm + norms[points][:, None] - 2 * np.matmul(vectors, x[points][:, :, None])[:, :, 0], 0)
+    d[void] = np.inf
+    gram = vectors @ vectors.transpose(0, 2, 1)
     rows = np.arange(m)
     for k in range(degree):
-        if not alive.any():
+        pick = d.argmin(axis=1)
+        has = np.isfinite(d[rows, pick])
+        if not has.any():
             break
-        pick = alive.argmax(axis=1)
-        has = alive[rows, pick]
         out[has, k] = ordered[rows, pick][has]
-        alive &= ~((alpha * alpha * between[rows, pick] <= d) & has[:, None])
-        alive[rows, pick] = False
+        between = norm + norm[rows, pick][:, None] - 2 * gram[rows, pick]
+        d[(alpha * alpha * between <= d) & has[:, None]] = np.inf
+        d[rows, pick] = np.inf
     return out
 
 
@@ -91,127 +113,146 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, al
 
     Two passes over the points in random order, the first with alpha 1: greedy
     searches propose candidates, pruning chooses among them and the present
-    edges, and each chosen edge is offered the other way round.
+    edges, and each chosen edge is offered the other way round: added where there is room,
+    and else pruned with those that are there.
     """
     n = len(x)
     random = np.random.default_rng(seed)
+    norms = np.einsum("ij,ij->i", x, x)
     entry = int(_squared(x, x.mean(axis=0)).argmin())
     if n <= degree + 1:
         full = np.array([[j for j in range(n) if j != i] + [-1] * (degree - n + 1) for i in range(n)], dtype=np.int64)
         return full.reshape(n, degree), entry
     edges = np.full((n, degree), -1, dtype=np.int64)
     edges[:, : degree // 2] = random.integers(0, n, (n, degree // 2))
+    batch = max(1, min(_BATCH, _CELLS // n))
     for slack in (1.0, alpha):
         order = random.permutation(n)
-        for i in range(0, n, _BATCH):
-            points = order[i : i + _BATCH]
-            met, _ = beam_search(x, edges, entry, x[points], width)
-            edges[points] = robust_prune(x, points, np.concatenate([met, edges[points]], axis=1), degree, slack)
+        for i in range(0, n, batch):
+            points = order[i : i + batch]
+            met, _ = beam_search(x, norms, edges, entry, x[points], width)
+            edges[points] = robust_prune(x, norms, points, np.concatenate([met, edges[points]], axis=1), degree, slack)
             source, target = np.repeat(points, degree), edges[points].ravel()
-            source, target = source[target >= 0], target[target >= 0]
+            new = target >= 0
+            source, target = source[new], target[new]
+            new = ~(edges[target] == source[:, None]).any(axis=1)
+            source, target = source[new], target[new]
             by = np.argsort(target, kind="stable")
             source, target = source[by], target[by]
             goals, first, counts = np.unique(target, return_index=True, return_counts=True)
+            place = np.arange(len(target)) - np.repeat(first, counts)
+            has = (edges[goals] >= 0).sum(axis=1)  # the edges of a node stand before its empty places
+            room = has + counts <= degree
+            fits = np.repeat(room, counts)
+            edges[target[fits], (np.repeat(has, counts) + place)[fits]] = source[fits]
+            goals, counts, source, place = goals[~room], counts[~room], source[~fits], place[~fits]
+            if not len(goals):
+                continue
             offered = np.full((len(goals), int(counts.max())), -1, dtype=np.int64)
-            offered[np.repeat(np.arange(len(goals)), counts), np.arange(len(target)) - np.repeat(first, counts)] = source
+            offered[np.repeat(np.arange(len(goals)), counts), place] = source
             step = max(1, (1 << 22) // (offered.shape[1] + degree) ** 2)
             for j in range(0, len(goals), step):
                 some = goals[j : j + step]
-                edges[some] = robust_prune(x, some, np.concatenate([edges[some], offered[j : j + step]], axis=1), degree, slack)
+                edges[some] = robust_prune(x, norms, some, np.concatenate([edges[some], offered[j : j + step]], axis=1), degree, slack)
     return edges, entry
 
 
 def vectors_of(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, v): one usable vector for each id, the least if it has several; usable are those of the most frequent length without a null or a number that isn't finite."""
-    rows = table.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    rows = table.select(F.col(vec_id).try_cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (common.n if common else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _matrix(table: pa.Table, name: str) -> np.ndarray:
-    column = table.column(name).combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float32)
+
 
+class _Shard:
+    """The graph of a shard and the ids that hold each of its vectors."""
 
-def _build(k: int, degree: int, alpha: float):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, x = table.column("id").to_numpy(), _matrix(table, "v").astype(np.float32)
-        x, inverse = np.unique(x, axis=0, return_inverse=True)
-        edges, entry = build_graph(x, degree, alpha=alpha)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, degree: int, alpha: float):
+        by = np.argsort(ids, kind="stable")
+        ids, x = ids[by], x[by]
+        self.x, inverse = np.unique(x, axis=0, return_inverse=True)
+        self.norms = np.einsum("ij,ij->i", self.x, self.x)
+        self.edges, self.entry = build_graph(self.x, degree, alpha=alpha)
         inverse = inverse.ravel()
         order = np.argsort(inverse, kind="stable")
-        first = np.searchsorted(inverse[order], np.arange(len(x) + 1))
-        holders = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(first[:-1], first[1:], strict=True)]
-        n = len(x)
-        return pa.table({"shard": pa.array(np.full(n, table.column("shard")[0].as_py(), dtype=np.int32)), "node": pa.array(np.arange(n, dtype=np.int32)), "entry": pa.array(np.arange(n) == entry), "v": pa.array(list(x), pa.list_(pa.float32())), "edges": pa.array(list(edges.astype(np.int32)), pa.list_(pa.int32())), "ids": pa.array(holders, pa.list_(pa.int64()))})
+        place = np.arange(len(order)) - np.searchsorted(inverse[order], inverse[order])
+        order = order[place <= k]  # the least k + 1 ids of a vector are all that a result can hold
+        self.held, self.first = ids[order], np.searchsorted(inverse[order], np.arange(len(self.x) + 1))
 
-    return run
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, neighbor, distance) of the k best of this shard."""
+        node, _ = beam_search(self.x, self.norms, self.edges, self.entry, queries, width)
+        row, place = np.nonzero(node[:, : 2 * (k + 1)] >= 0)
+        found = node[row, place]
+        sizes = self.first[found + 1] - self.first[found]
+        at = np.arange(int(sizes.sum())) + np.repeat(self.first[found] - (np.cumsum(sizes) - sizes), sizes)
+        exact = np.sqrt(_squared(self.x[found].astype(np.float64), queries[row].astype(np.float64)))
+        owner, other, far = np.repeat(row, sizes), self.held[at], np.repeat(exact, sizes)
+        keep = ids[owner] != other
+        owner, other, far = owner[keep], other[keep], far[keep]
+        by = np.lexsort((other, far, owner))
+        owner, other, far = owner[by], other[by], far[by]
+        best = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+        return ids[owner[best]], other[best], far[best]
 
 
-def _search(k: int, width: int):
-    def run(graph: pa.Table, asked: pa.Table) -> pa.Table:
-        if not graph.num_rows or not asked.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        graph = graph.sort_by("node")
-        x, edges = _matrix(graph, "v"), _matrix(graph, "edges").astype(np.int64)
-        entry = int(np.flatnonzero(graph.column("entry").to_numpy())[0])
-        holders = graph.column("ids").combine_chunks()
-        holders = holders.chunk(0) if isinstance(holders, pa.ChunkedArray) else holders
-        held, first = holders.flatten().to_numpy(), np.concatenate(([0], np.cumsum(holders.value_lengths().to_numpy())))
-        ids, q = asked.column("id").to_numpy(), _matrix(asked, "v")
-        out = []
-        for i in range(0, len(ids), _BATCH):
-            node, _ = beam_search(x, edges, entry, q[i : i + _BATCH], width)
-            row, place = np.nonzero(node[:, : k + 1] >= 0)
-            found = node[row, place]
-            sizes = first[found + 1] - first[found]
-            at = np.arange(int(sizes.sum())) + np.repeat(first[found] - (np.cumsum(sizes) - sizes), sizes)
-            exact = np.sqrt(_squared(x[found].astype(np.float64), q[i + row].astype(np.float64)))
-            owner, other, far = np.repeat(ids[i + row], sizes), held[at], np.repeat(exact, sizes)
-            keep = owner != other
-            owner, other, far = owner[keep], other[keep], far[keep]
-            by = np.lexsort((other, far, owner))
-            owner, other, far = owner[by], other[by], far[by]
-            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            out.append((owner[rank < k], other[rank < k], far[rank < k]))
-        owner, other, far = (np.concatenate([o[c] for o in out]) for c in range(3))
-        return pa.table({"id": owner, "neighbor": other, "distance": far})
+def _search(k: int, degree: int, width: int, alpha: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition is a shard: first its vectors, then the queries, of which no more than a batch is held
+        ids, vectors, shard = [], [], None
+        for batch in batches:
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            own = batch.filter(pa.array(~asks))
+            if len(own):
+                ids.append(own.column("id").to_numpy())
+                vectors.append(_matrix(own.column("v")))
+            asked = batch.filter(pa.array(asks))
+            if not len(asked) or not ids:
+                continue
+            if shard is None:
+                shard = _Shard(np.concatenate(ids), np.concatenate(vectors), k, degree, alpha)
+                vectors.clear()
+            step = max(1, min(_BATCH, _CELLS // len(shard.x)))
+            for i in range(0, len(asked), step):
+                some = asked.slice(i, step)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, shard.nearest(some.column("id").to_numpy(), _matrix(some.column("v")), k, width))), ["id", "neighbor", "distance"])
 
     return run
 
 
-def nearest_neighbors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, degree: int = DEGREE, width: int = BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """The k nearest other vectors of every vector: (vec_id, neighbor_id, distance, rank), Euclidean, ranks from 1.
+def nearest_neighbors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, every: int = 1, degree: int = DEGREE, width: int = BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_SHARD_ROWS) -> DataFrame:
+    """The k nearest other vectors of the vectors whose id is divisible by ``every``: (vec_id, neighbor_id, distance, rank), Euclidean, ranks from 1.
 
-    Vectors go to shards by hash of the id, each shard is made a graph, and every
-    vector is put to every shard by beam search; the best k of all shards remain, ties
+    All vectors are indexed, and those that ask are put to all of them. Vectors go
+    to shards by hash of the id, each shard is made a graph, and every query
+    is put to every shard by beam search; the best k of all shards remain, ties
     by id. Equal vectors are one node of a graph that lists its least k + 1 ids, so
     any number of them neither cuts the graph nor fills the beam.
 
-    Rows with a null id, a null or empty vector, a null or infinite element or NaN, or
-    not of the most frequent length are left out; of several rows of one id the least
-    vector counts. With fewer than k + 1 ids there are fewer ranks; empty input gives
-    no rows. Extra columns are ignored.
+    Ids are whole numbers. Rows with a null id or another one, a null or empty vector, a
+    null or infinite element or NaN, or not of the most frequent length are left
+    out; of several rows of one id the least vector counts. With fewer than k + 1 ids
+    there are fewer ranks; empty input gives no rows. Extra columns of any name are ignored.
 
-    Approximate: tests hold recall against brute force at 0.9 and more. A task holds
-    one graph and ``query_rows`` queries. The work is rows / shard_rows searches for
-    each row; on a larger cluster the shards should be as large as memory allows.
+    Approximate: tests hold recall against brute force at 0.9 and more. A shard is a
+    partition and a task, whatever the session's settings, that reads the vectors,
+    builds the graph in memory, and streams the queries past it. There are as many
+    shards as cores, as soon as they have ``shard_rows`` vectors, and more once they would exceed ``most_rows``:
+    the work is linear for the graphs, and queries times shards for the searches.
     """
     k = max(1, k)
-    width = max(width, k + 1)
+    width = max(width, 2 * (k + 1))
     vectors = Table(vectors_of(table, vec_id, embedding), "vectors").df
     n = vectors.count()
-    shards, parts = max(1, -(-n // shard_rows)), max(1, -(-n // query_rows))
-    placed = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graph = placed.groupBy("shard").applyInArrow(_build(k, degree, alpha), "shard int, node int, entry boolean, v array<float>, edges array<int>, ids array<bigint>")
-    graph = Table(graph, "graphs").df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = vectors.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    # a task for each (shard, part), whatever the session's number of shuffle partitions
-    key = (F.col("shard") * parts + F.col("part")).alias("task")
-    graph, asked = graph.select("*", key), asked.select("*", key)
-    found = graph.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_search(k, width), "id bigint, neighbor bigint, distance double")
+    shards = max(1, -(-n // most_rows), min(-(-n // shard_rows), vectors.sparkSession.sparkContext.defaultParallelism))
+    own = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    asked = vectors.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    placed = own.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("asks").select("asks", "id", "v")
+    found = placed.mapInArrow(_search(k, degree, width, alpha), "id bigint, neighbor bigint, distance double")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))).where(F.col("rank") <= k)
     return best.select(F.col("id").alias("vec_id"), F.col("neighbor").alias("neighbor_id"), "distance", "rank")

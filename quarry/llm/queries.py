@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest_neighbors(_table(spark, sf_dir, "embeddings"))
+    return ann.nearest_neighbors(_table(spark, sf_dir, "embeddings"), every=100)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

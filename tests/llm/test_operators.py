@@ -7,7 +7,7 @@ import pytest
 from fixtures import DOCS, prose
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, fingerprints, groups, langid, line_dedup, mixing, quality, simhash, suffix_dedup
+from quarry.llm import ann, bpe, fingerprints, groups, langid, line_dedup, mixing, quality, queries, simhash, suffix_dedup
 
 
 def docs_of(spark, texts, source="s"):
@@ -22,7 +22,7 @@ def test_neighbours_recall(spark):
     x = (r.normal(size=(40, 24))[r.integers(0, 40, 3000)] + 0.4 * r.normal(size=(3000, 24))).astype(np.float32)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     got = defaultdict(dict)
-    for row in ann.nearest_neighbors(table, k=10, shard_rows=1200, query_rows=1600).collect():
+    for row in ann.nearest_neighbors(table, k=10, shard_rows=700, most_rows=900).collect():
         got[row.vec_id][row.rank] = (row.neighbor_id, row.distance)
     hits = 0
     for i in range(len(x)):
@@ -32,6 +32,24 @@ def test_neighbours_recall(spark):
         hits += len(best & {n for n, _ in got[i].values()})
         assert sorted(got[i]) == list(range(1, 11)) and i not in {n for n, _ in got[i].values()}
     assert hits / (10 * len(x)) >= 0.9
+    some = ann.nearest_neighbors(table, k=10, every=100, shard_rows=700, most_rows=900).collect()
+    assert {r.vec_id for r in some} == set(range(0, 3000, 100)) and all(got[r.vec_id][r.rank] == (r.neighbor_id, r.distance) for r in some)
+
+
+def test_op1_recall(spark):
+    """The query itself, on a whole table, against brute force."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    got = defaultdict(set)
+    for r in queries.op1_nearest_neighbors(spark, sf).collect():
+        got[r.vec_id].add(r.neighbor_id)
+    hits = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(got[ids[i]] & set(ids[np.argpartition(d, 10)[:10]].tolist()))
+    assert len(got) == (ids % 100 == 0).sum() and hits / (10 * len(got)) >= 0.9
 
 
 def test_neighbours_odd_rows(spark):
