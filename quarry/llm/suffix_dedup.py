@@ -122,15 +122,18 @@ def _position_rows(threshold: int, seed: int):
 def _ranked(pairs: DataFrame, bits: int) -> DataFrame:
     """Sort the pairs (r1, r2), rank them, and keep those that aren't unique: (doc_id, version, pos, rank).
 
-    Both ranks are spread evenly over 0 .. 2^63, so the leading bits of r1 cut them
-    into equal ranges without sampling; the rank (range, place of the first equal
-    pair in the range) keeps the global order and the even spread.
+    What is sorted are distinct pairs with their counts, which are combined before
+    they move, so that a pair that millions of positions have is one row; the ranks are
+    joined back, where a hot pair is broadcast or split. Both ranks are spread evenly
+    over 0 .. 2^63, so the leading bits of r1 cut them into equal ranges without
+    sampling; the rank (range, number of repeated positions before the pair in the
+    range) keeps the global order and the even spread.
     """
-    ranged = pairs.withColumn("range", F.shiftright("r1", 63 - bits))
-    order = Window.partitionBy("range").orderBy("r1", "r2")
-    n = F.count(F.lit(1)).over(Window.partitionBy("range", "r1", "r2"))
-    rank = F.shiftleft(F.col("range"), 63 - bits) + F.rank().over(order)
-    return ranged.select("doc_id", "version", "pos", rank.alias("rank"), n.alias("n")).where("n > 1").drop("n")
+    pairs = Table(pairs, "pairs").df
+    counted = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("range", F.shiftright("r1", 63 - bits))
+    before = F.sum("n").over(Window.partitionBy("range").orderBy("r1", "r2").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counted.select("r1", "r2", (F.shiftleft(F.col("range"), 63 - bits) + before).alias("rank"))
+    return pairs.join(Table(ranks, "ranks").df, ["r1", "r2"]).select("doc_id", "version", "pos", "rank")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, seed: int = SEED_WORDS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -168,9 +171,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     whole = whole.select("k.doc_id", F.lit(0).alias("start_word"), F.col("k.words").cast("int").alias("words"), F.col("r.doc_id").alias("first_doc_id"), F.lit(0).alias("first_word"))
 
     rows = base.select("text_hash", "text").mapInArrow(_anchor_rows(threshold), "text_hash bigint, pos int, name bigint")
-    place, same_name = F.xxhash64("text_hash", "pos"), Window.partitionBy("name")
-    again = rows.withColumn("one", F.min(place).over(same_name) == F.max(place).over(same_name)).where("NOT one")
-    lists = again.groupBy("text_hash").agg(F.collect_set("pos").alias("anchors"))
+    place = F.xxhash64("text_hash", "pos")
+    again = Table(rows.groupBy("name").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("name"), "anchor-names").df
+    lists = rows.join(again, "name").groupBy("text_hash").agg(F.collect_set("pos").alias("anchors"))
     found = Table(lists.join(reps, "text_hash"), "anchors")
     n = found.df.agg(F.sum(F.size("anchors"))).first()[0] or 0
     bits = max(0, (n * (threshold - threshold // 2) // rows_per_range).bit_length())
@@ -190,11 +193,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         ahead = F.first("rank").over(Window.partitionBy("doc_id", "version").orderBy("pos").rangeBetween(offset, offset))
         pairs = now.df.select("doc_id", "version", "pos", F.col("rank").alias("r1"), ahead.alias("r2")).where("r2 IS NOT NULL")
         length += offset
-    # the last round: equal pairs are repeats, and their order within the group finds the first
-    group = Window.partitionBy("r1", "r2").orderBy(F.col("doc_id").asc_nulls_last(), "version", "pos")
-    firsts = [F.first(c).over(group).alias(f"first_{c}") for c in ("doc_id", "version", "pos")]
-    last = pairs.select("doc_id", "version", "pos", F.dense_rank().over(group).alias("place"), *firsts)
-    later = last.where("place > 1").drop("place")
+    # the last round: equal pairs are repeats, and the least position among them is the first
+    pairs = Table(pairs, "last-pairs").df
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "version", "pos")
+    least = Table(pairs.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "last-firsts").df
+    firsts = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "version", "pos")]
+    later = pairs.join(least, ["r1", "r2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "pos", *firsts)
     # rows alike in id and text bring each position twice; a dense rank and the minima and maxima don't mind
     by = ["doc_id", "version", "first_doc_id", "first_version", "shift"]
     islands = later.withColumn("shift", F.col("pos") - F.col("first_pos")).withColumn("island", F.col("pos") - F.dense_rank().over(Window.partitionBy(*by).orderBy("pos")))
