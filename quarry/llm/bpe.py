@@ -18,7 +18,7 @@ from . import textblocks as tb
 #: Where the public vocabularies lie; every function takes another path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words of this much text are merged together.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -198,9 +198,7 @@ def _encode_rows(shared, block_bytes: int):
                     same = np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], bounds[:-1], bounds[1:], strict=True)])
                 null = texts.is_null().to_numpy(zero_copy_only=False)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens), mask=pa.array(null) if null.any() else None)
-                arrays = [block.column(i) for i, name in enumerate(block.schema.names) if name != "text"]
-                names = [name for name in block.schema.names if name != "text"]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.diff(offsets), mask=null), lists, pa.array(same, mask=null)], [*names, "n_tokens", "tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(np.diff(offsets), mask=null), lists, pa.array(same, mask=null)], ["row", "n_tokens", "tokens", "round_trip"])
 
     return run
 
@@ -219,25 +217,34 @@ def bpe_encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))
     keep = tuple(c for c in keep if c not in ("n_tokens", "tokens", "round_trip"))
-    named = docs.select(*[F.col(c) for c in keep if c != "text"], F.col(text).alias("text"))
-    schema = named.drop("text").schema.add("n_tokens", T.LongType()).add("tokens", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
-    return named.mapInArrow(_encode_rows(shared, block_bytes), schema)
+    named = docs.select(_row(keep), F.col(text).alias("text"))
+    schema = named.select("row").schema.add("n_tokens", T.LongType()).add("tokens", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+    return named.mapInArrow(_encode_rows(shared, block_bytes), schema).select(*[f"row.`{c}`" for c in keep], "n_tokens", "tokens", "round_trip")
+
+
+def _row(keep: tuple[str, ...]):
+    return (F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))).alias("row")
 
 
 def bpe_decode(encoded: DataFrame, tokens: str = "tokens", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns ``keep`` and the text of the tokens; null for null tokens. Bytes that aren't UTF-8 become U+FFFD."""
+    """The columns ``keep`` and the text of the tokens; of ``keep`` one named text is replaced by it.
+
+    Null tokens give a null text, none an empty one, and bytes that aren't UTF-8 become
+    U+FFFD; a token outside the vocabulary, or a null one, raises. Rows are
+    independent of one another; other columns of any name are ignored; empty input gives empty output.
+    """
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))
-    named = encoded.select(*[F.col(c) for c in keep if c != "text"], F.col(tokens).alias("__tokens"))
+    keep = tuple(c for c in keep if c != "text")
+    named = encoded.select(_row(keep), F.col(tokens).alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("__tokens")
+            lists = batch.column("tokens")
             sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             data, at = shared.value.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(sizes))))
             whole = data.tobytes()
             texts = [whole[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
-            names = [n for n in batch.schema.names if n != "__tokens"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return named.mapInArrow(run, named.drop("__tokens").schema.add("text", T.StringType()))
+    return named.mapInArrow(run, named.select("row").schema.add("text", T.StringType())).select(*[f"row.`{c}`" for c in keep], "text")

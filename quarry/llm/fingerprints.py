@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -90,7 +90,7 @@ def _rows(sizes: tuple[int, int, int], bits: tuple[int, int]):
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, int, int] = SIZES, bits: tuple[int, int] = BITS) -> DataFrame:
     """(doc_id, text_hash, digests ARRAY<BIGINT>, lengths ARRAY<INT>): the set of a text's chunk digests, ascending as unsigned numbers, and the chunks' bytes."""
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.hash(text).alias("text_hash"), F.col(text).alias("text")).where("text IS NOT NULL")
+    base = docs.select(F.col(doc_id).try_cast("bigint").alias("doc_id"), F.hash(text).alias("text_hash"), F.col(text).alias("text")).where("text IS NOT NULL")
     return base.mapInArrow(_rows(sizes, bits), "doc_id bigint, text_hash int, digests array<bigint>, lengths array<int>")
 
 
@@ -167,22 +167,21 @@ def best_holders(shared: DataFrame, hot: int = HOT) -> DataFrame:
     return found.select("doc", F.greatest(copies, "rare", "others", "peers").alias("best"))
 
 
-def corpus_containment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, int, int] = SIZES, bits: tuple[int, int] = BITS, all_holders: bool = False) -> DataFrame:
+def corpus_containment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, int, int] = SIZES, bits: tuple[int, int] = BITS) -> DataFrame:
     """Fingerprint every document and measure how much of it the rest of the corpus contains.
 
     Returns (doc_id, digests, lengths, bytes, shared_bytes, containment,
     container_id, container_bytes). ``bytes`` is the length of the chunk set,
     ``shared_bytes`` that of its chunks which another document has too, and
-    ``containment`` their quotient. With ``all_holders``, ``container_id`` is the other
-    document that holds most of this one's bytes (ties: the least id), and
-    ``container_bytes`` how many; both are null if none holds any. Without it a chunk
-    is credited to the least id that has it and to no other, so the least id of all
-    its chunks has no container, and another's may be too small.
+    ``containment`` their quotient. ``container_id`` is the other document that holds
+    most of this one's bytes (ties: the least id), sought among all holders of all its
+    chunks, and ``container_bytes`` how many; both are null if none holds any.
 
     A null text has no row; an empty one has no chunks, 0 bytes and a null
     containment. Rows alike in id and text are one document and give one row; rows
     alike in id only are counted as one holder but give a row each. A row without an
-    id shares with others but holds nothing, so it is no container. Extra columns are
+    id, or with one that isn't a whole number, shares with others but holds nothing, so it
+    is no container. Texts of any length are cut whole; extra columns of any name are
     ignored; empty input gives no rows.
 
     Every chunk crosses the network once, by digest, as 64 hash bits, its document
@@ -192,22 +191,14 @@ def corpus_containment(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     prints = Table(fingerprints(docs, doc_id, text, sizes, bits).dropDuplicates(["doc_id", "text_hash"]), "chunks").df
     rows = prints.select("doc_id", "text_hash", F.inline(F.arrays_zip("digests", "lengths")))
-    same = Window.partitionBy("digests")
-    holder, n = F.min("doc_id").over(same).alias("holder"), F.count(F.lit(1)).over(same).alias("n")
-    ids = F.struct("doc_id", "text_hash")
-    lone = ((F.min("doc_id").over(same) == F.max("doc_id").over(same)) & (F.count("doc_id").over(same) == F.count(F.lit(1)).over(same))).alias("lone")
-    shared = rows.select(ids.alias("doc"), "digests", "lengths", holder, n, lone).where("n > 1 AND NOT coalesce(lone, false)")
-    if all_holders:
-        shared = Table(shared.select("doc", "digests", "lengths"), "shared").df
-        found = best_holders(shared, HOT).alias("f")
-        sums = shared.groupBy("doc").agg(F.sum("lengths").alias("shared_bytes")).alias("t")
-        same_doc = F.col("t.doc.doc_id").eqNullSafe(F.col("f.doc.doc_id")) & (F.col("t.doc.text_hash") == F.col("f.doc.text_hash"))
-        per_doc = sums.join(found, same_doc).select("t.doc", "shared_bytes", "best")
-    else:
-        by_holder = shared.groupBy("doc", "holder").agg(F.sum("lengths").alias("held"))
-        own = F.col("holder").isNull() | F.col("holder").eqNullSafe(F.col("doc.doc_id"))
-        best = F.max(F.when(~own, F.struct(F.col("held"), (-F.col("holder")).alias("minus"))))
-        per_doc = by_holder.groupBy("doc").agg(F.sum("held").alias("shared_bytes"), best.alias("best"))
+    held = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("doc_id").alias("named"), F.count(F.lit(1)).alias("n")]
+    kinds = rows.groupBy("digests").agg(*held).where("n > 1 AND NOT coalesce(least = most AND named = n, false)").select("digests")
+    kinds = Table(kinds, "chunk-kinds")
+    shared = Table(rows.join(kinds.df, "digests").select(F.struct("doc_id", "text_hash").alias("doc"), "digests", "lengths"), "shared", after=[kinds]).df
+    found = best_holders(shared, HOT).alias("f")
+    sums = shared.groupBy("doc").agg(F.sum("lengths").alias("shared_bytes")).alias("t")
+    same_doc = F.col("t.doc.doc_id").eqNullSafe(F.col("f.doc.doc_id")) & (F.col("t.doc.text_hash") == F.col("f.doc.text_hash"))
+    per_doc = sums.join(found, same_doc).select("t.doc", "shared_bytes", "best")
     total = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)
     joined = prints.alias("p").join(per_doc.alias("s"), F.col("p.doc_id").eqNullSafe(F.col("s.doc.doc_id")) & (F.col("p.text_hash") == F.col("s.doc.text_hash")), "left")
     out = joined.select("p.doc_id", "p.digests", "p.lengths", total.alias("bytes"), F.coalesce("s.shared_bytes", F.lit(0).cast("bigint")).alias("shared_bytes"), "s.best")

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
 
@@ -23,9 +24,12 @@ LEXICON = 3000
 _SPACE_BITS = 17
 _GRAMS = (2, 3, 4, 5)
 _CHUNK = 64
+_WORDS = 16384
 _APART = np.ones(256, dtype=bool)
 _APART[[*b"abcdefghijklmnopqrstuvwxyz"]] = False
 _APART[128:] = False
+#: First bytes, and how many in all, of characters beyond ASCII that aren't letters: U+0080-00BF, U+2000-2FFF, U+3000-303F, and those beyond U+1F000.
+_MARKS = ((b"\xc2", 2), (b"\xe2", 3), (b"\xe3\x80", 3), (b"\xf0\x9f", 4))
 _EDGE = 0  # a byte that no word has, before and after each word
 
 
@@ -41,11 +45,14 @@ class Model:
     transitions: np.ndarray
 
     def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Scores (words, languages)."""
-        feature, word = features(data, starts, ends)
-        first = np.searchsorted(word, np.arange(len(starts)))
-        scores = np.add.reduceat(self.weights[feature], first, axis=0)
-        return scores / np.diff(np.append(first, len(word)))[:, None] ** 0.5 + self._lexical(hashes)
+        """Scores (words, languages), some words at a time: each has dozens of features."""
+        scores = np.empty((len(starts), len(self.langs)), dtype=np.float32)
+        for i in range(0, len(starts), _WORDS):
+            feature, word = features(data, starts[i : i + _WORDS], ends[i : i + _WORDS])
+            n = len(starts[i : i + _WORDS])
+            first = np.searchsorted(word, np.arange(n))
+            scores[i : i + n] = np.add.reduceat(self.weights[feature], first, axis=0) / np.diff(np.append(first, len(word)))[:, None] ** 0.5
+        return scores + self._lexical(hashes)
 
     def _lexical(self, hashes: np.ndarray) -> np.ndarray:
         return self.in_lexicon(hashes) @ self.lexicon_weights
@@ -58,8 +65,19 @@ class Model:
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the lower-case texts, starts and ends of their words (runs of letters), and the words' first index in each text."""
+    """Bytes of the lower-case texts, starts and ends of their words, and the words' first index in each text.
+
+    A word is a run of a-z and of characters beyond ASCII, but for signs and punctuation (``_MARKS``).
+    """
     data, bounds = tb.flat(pc.utf8_lower(texts))
+    if len(data) and data.max() > 127:
+        data = data.copy()
+        for first, size in _MARKS:
+            at = np.flatnonzero(data == first[0])
+            for i, byte in enumerate(first[1:], 1):
+                at = at[data[at + i] == byte]
+            for i in range(size):
+                data[at + i] = 32
     starts, ends = tb.words(data, bounds, _APART)
     return data, starts, ends, np.searchsorted(starts, bounds)
 
@@ -326,7 +344,7 @@ def _label_rows(shared, min_share: float):
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, min_share: float = MIN_SHARE, model: Model | None = None) -> DataFrame:
     """Label the words of every text: (doc_id, words, detected, share, keep, spans).
 
-    Words are runs of letters, lower-cased. ``spans`` is the text's words in order as
+    Words are runs of letters, lower-cased (:func:`words_of`). ``spans`` is the text's words in order as
     runs of one language; ``share`` is the mean posterior probability of the language
     ``detected``, and a document is kept (``keep``) if it reaches ``min_share``. A text that
     is null, empty or without a letter has no words, null language and share, empty
@@ -352,21 +370,28 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 def _accept_rows(shared, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tb.blocks(batch, "__text"):
-                gamma, first, _ = label_texts(shared.value, block.column("__text"))
+            for block in tb.blocks(batch):
+                gamma, first, _ = label_texts(shared.value, block.column("text"))
                 sizes = np.diff(first)
                 some = sizes > 0
                 good = np.zeros(len(block), dtype=bool)
                 if some.any():
                     good[some] = (np.add.reduceat(gamma, first[:-1][some], axis=0) / sizes[some][:, None]).max(axis=1) >= min_share
-                yield block.filter(pa.array(good)).drop_columns(["__text"])
+                yield block.filter(pa.array(good)).drop_columns(["text"])
 
     return run
 
 
 def accept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of ``docs`` that :func:`language_id` accepts, with all their columns."""
+    """The rows of ``docs`` that :func:`language_id` keeps, with all their columns, whatever their names and types.
+
+    Rows with a null, an empty or a letterless text go. Null ids and labels don't
+    matter, texts of any length count whole, repeated rows stay or go together, and an
+    empty table stays empty. Where nothing is labelled, every row with a letter stays.
+    """
     model = train(docs, doc_id, text, lang, sample)
     if model is None:
         return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return docs.withColumn("__text", F.col(text)).mapInArrow(_accept_rows(docs.sparkSession.sparkContext.broadcast(model), min_share), docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(_accept_rows(shared, min_share), T.StructType([T.StructField("row", docs.schema)])).select("row.*")

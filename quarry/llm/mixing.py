@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +40,7 @@ def plan_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget
     drawn once for each whole epoch that fits the share, and in the last, partial
     epoch those that start before the rest. ``take`` is min(tokens, rest - start)
     there, so that a source's takes add up to its share. A source without a weight
-    gets none.
+    gets none; a weight that is negative, infinite or NaN, or a negative budget, raises ValueError.
 
     Null texts have no tokens and are drawn only in whole epochs or before the
     cut; null sources are a source of their own; null ids share one key. Ties in
@@ -53,6 +54,8 @@ def plan_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget
     sum within a range needs only the range. The hot source is thus spread over as
     many ranges as its rows need.
     """
+    if budget is not None and budget < 0 or any(not 0 <= w < math.inf for w in (weights or {}).values()):
+        raise ValueError("weights and budgets are finite numbers, 0 or more")
     base = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.hash(text).alias("text_hash"),
         (count_tokens(F.col(text)) if tokens is None else tokens).alias("tokens"), random_key(F.col(doc_id), seed).alias("key"),
@@ -91,7 +94,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: int
 
     Whole documents are returned, the one that crosses its source's cut included.
     Cases are those of :func:`plan_mix`, but that repeated rows are drawn as often
-    as the first of them even if the cut falls among them. The plan is reduced to times drawn per
+    as the first of them even if the cut falls among them: null and empty texts come
+    only in whole epochs or before the cut, null sources are one source, null ids are
+    drawn by their texts, texts of any length come whole, columns may have any names, and an empty table, or one
+    without a token, gives no rows. The plan is reduced to times drawn per
     document before it meets the texts, which are shuffled once.
     """
     plan = plan_mix(docs, weights, budget, doc_id=doc_id, source=source, text=text, **options)

@@ -121,6 +121,12 @@ def test_mixing_odd(odd_docs, no_docs):
     plan = mixing.plan_mix(odd_docs).collect()
     assert {r.source for r in plan} == {"a", "b", None} and sum(r["take"] for r in plan) <= 30_000 + 400
     assert mixing.mix(odd_docs).columns == odd_docs.columns
+    for bad in ({"a": -1.0}, {"a": float("nan")}, {"a": float("inf")}):
+        with pytest.raises(ValueError):
+            mixing.plan_mix(odd_docs, bad)
+    clash = odd_docs.selectExpr("cast(doc_id as string) AS key", "text AS take", "source AS row", "7 AS t", "8 AS times")
+    drawn = mixing.mix(clash, doc_id="key", source="row", text="take")
+    assert drawn.columns == clash.columns and drawn.count() == mixing.mix(odd_docs).count()
     assert mixing.plan_mix(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
@@ -167,7 +173,7 @@ def test_containment(spark):
     base = prose("base", 900)
     texts = [base, prose("more", 600) + " " + base, prose("alone", 300), base]
     rows = {r.doc_id: r for r in fingerprints.corpus_containment(docs_of(spark, texts)).collect()}
-    assert rows[0].containment == rows[3].containment == 1 and rows[0].container_id is None and rows[3].container_id == 0  # a chunk's holder is the least id that has it
+    assert rows[0].containment == rows[3].containment == 1 and rows[0].container_id == 3 and rows[3].container_id == 0
     assert rows[2].containment == 0 and rows[2].container_id is None and 0.4 < rows[1].containment < 0.7 and rows[1].container_id == 0
     sets = {i: {texts[i].encode()[a:b] for a, b in slow_chunks(texts[i].encode())} for i in range(4)}
     shared = sum(len(c) for c in sets[1] if any(c in sets[j] for j in (0, 2, 3)))
@@ -209,6 +215,12 @@ def test_bpe_equals_the_public_encoder(spark):
 
 
 def test_bpe_odd(odd_docs, no_docs):
+    named = odd_docs.selectExpr("doc_id", "source AS text", "text AS body", "1 AS row", "2 AS tokens")
+    both = bpe.bpe_encode(named, "body", ("doc_id", "text", "row"))
+    assert both.columns == ["doc_id", "text", "row", "n_tokens", "tokens", "round_trip"] and {r.text for r in both.collect()} == {"a", "b", None}
+    again = bpe.bpe_decode(both.where("doc_id = 9 OR doc_id = 3"), keep=("row", "doc_id")).collect()
+    assert sorted(((r.row, r.doc_id, r.text) for r in again), key=str) == [(1, 3, None), (1, 9, "é" * 50)]
+    assert bpe.bpe_encode(odd_docs, keep=()).columns == ["n_tokens", "tokens", "round_trip"]
     out = bpe.bpe_encode(odd_docs, keep=("doc_id", "tokens", "kept"))
     assert out.columns == ["doc_id", "kept", "n_tokens", "tokens", "round_trip"] and out.count() == odd_docs.count()
     rows = {r.doc_id: r for r in out.collect()}
@@ -222,13 +234,13 @@ def test_bpe_odd(odd_docs, no_docs):
 def test_line_dedup(spark):
     rows = [(i, f"menu\nline {i}\n\n menu \nend {i % 3}", "en", "big" if i < 40 else "small", 0) for i in range(44)]
     out = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
-    assert out[3].text == "line 3\n" and out[3].dropped_lines == 3 and out[41].text == rows[41][1] and out[41].dropped_lines == 0
+    assert out[3].text == "line 3\n" and out[3].dropped_lines == 3 and out[41].text == "line 41\n\nend 2" and out[41].dropped_lines == 2
 
 
 def test_line_dedup_odd(odd_docs, no_docs):
     out = line_dedup.line_dedup(odd_docs)
     assert sorted(out.columns) == sorted(odd_docs.columns) and dict(out.dtypes)["dropped_lines"] == "bigint" and out.count() == odd_docs.count()
-    assert {r.text for r in out.where("doc_id = 3").collect()} == {None} and out.where("dropped_lines > 0").count() == 0
+    assert {r.text for r in out.where("doc_id = 3").collect()} == {None} and sorted(r.doc_id for r in out.where("dropped_lines > 0").collect()) == [1, 1]
     assert line_dedup.line_dedup(no_docs).count() == 0
 
 
@@ -276,7 +288,16 @@ def test_language_id_odd(odd_docs, no_docs):
     assert langid.language_id(no_docs).count() == 0
     unlabelled = odd_docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in langid.accept(unlabelled).collect()} == {1, 2, None, 5, 7, 9}
-    assert langid.accept(odd_docs).columns == odd_docs.columns
+    named = odd_docs.selectExpr("cast(doc_id as string) AS doc_id", "text", "lang", "1 AS __text", "2 AS row", "n_chars AS words")
+    got = langid.accept(named)
+    assert got.columns == named.columns and {r.doc_id for r in got.collect()} == {"1", "2", None, "5", "7", "9"} and {r["__text"] for r in got.collect()} == {1}
+    assert langid.accept(no_docs).columns == no_docs.columns and langid.accept(no_docs).count() == 0
+
+
+def test_words_end_at_signs():
+    data, starts, ends, first = langid.words_of(pa.array(["Ab\u2014cd ef\u00a0gh\u3002ij", None, "\u65e5\u672c caf\u00e9 x\U0001f600y 1a"]))
+    words = [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
+    assert words == ["ab", "cd", "ef", "gh", "ij", "\u65e5\u672c", "caf\u00e9", "x", "y", "a"] and first.tolist() == [0, 5, 5, 10]
 
 
 # --- 9: quality
