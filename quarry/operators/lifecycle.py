@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IDLE_S, LATEST_S = 120, 600
+RETRY_S, GIVE_UP_S = 8, 25 * 60
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -25,45 +24,43 @@ def garbage(present: DataFrame, desired: DataFrame, key: str) -> DataFrame:
     return present.join(desired.select(key).distinct(), key, "left_anti")
 
 
-def batches(times: list[float], idle: float = IDLE_S, latest: float = LATEST_S) -> list[int]:
-    """The merge, from 0, that takes each of the ascending request times: it runs once idle for so long, or so long after its first request."""
-    out: list[int] = []
-    began = before = None
-    for t in times:
-        if began is None or t - before >= idle or t - began >= latest:
-            out.append(out[-1] + 1 if out else 0)
-            began = t
-        else:
-            out.append(out[-1])
-        before = t
-    return out
-
-
 def merge_triggers(requests: DataFrame, shard: str = "shard", ts: str = "ts", idle: float = IDLE_S, latest: float = LATEST_S) -> DataFrame:
-    """(shard, merge, requests, first, last, fires) of the merges that requests of each shard lead to.
+    """(shard, requests, first, last, fires) of the merges that requests of each shard lead to.
 
-    A burst that ends by idleness is a session, found by a built-in window; only where one lasts
-    beyond the latest time, which no window expresses, are its requests walked one by one.
+    A merge runs once its shard has been idle for so long, or so long after its first
+    request. A burst that ends by idleness is a session, found by a built-in window and
+    combined before it moves; only those that last beyond the latest time are folded
+    request by request, over the sorted distinct times with their counts, by a built-in aggregate.
     """
-    rows = requests.select(F.col(shard).alias("shard"), F.col(ts).alias("ts")).where("shard IS NOT NULL AND ts IS NOT NULL")
-    kind = rows.schema["shard"].dataType.simpleString()
-
-    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts")
-        seconds = (frame["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
-        frame["merge"] = batches(seconds, idle, latest)
-        out = frame.groupby("merge")["ts"].agg(["count", "min", "max"]).reset_index(drop=True)
-        fires = (out["max"] + pd.Timedelta(seconds=idle)).clip(upper=out["min"] + pd.Timedelta(seconds=latest))
-        return pd.DataFrame({"shard": key[0], "requests": out["count"], "first": out["min"], "last": out["max"], "fires": fires})
-
-    session = F.session_window("ts", f"{idle} seconds")
-    whole = rows.groupBy("shard", session).agg(F.count(F.lit(1)).alias("requests"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    spans = whole.withColumn("long", F.col("last") >= F.col("first") + F.make_dt_interval(secs=F.lit(latest)))
-    short = spans.where("NOT long").select("shard", "requests", "first", "last", F.least(F.col("last") + F.make_dt_interval(secs=F.lit(idle)), F.col("first") + F.make_dt_interval(secs=F.lit(latest))).alias("fires"))
-    long = spans.where("long").select(F.col("shard").alias("__shard"), F.col("first").alias("from"), F.col("last").alias("to"))
-    inside = rows.join(long, (F.col("shard") == F.col("__shard")) & F.col("ts").between(F.col("from"), F.col("to"))).select("shard", "from", "ts")
-    walked = inside.groupBy("shard", "from").applyInPandas(walk, f"shard {kind}, requests bigint, first timestamp, last timestamp, fires timestamp")
-    return short.unionByName(walked)
+    rows = requests.select(F.col(shard).alias("shard"), F.col(ts).cast("timestamp").alias("ts")).where("shard IS NOT NULL AND ts IS NOT NULL")
+    after = lambda c, s: c + F.make_dt_interval(secs=F.lit(s))
+    counted = rows.groupBy("shard", "ts").agg(F.count(F.lit(1)).alias("n"))
+    session = F.session_window("ts", f"{round(idle * 1_000_000) - 1} microseconds")  # windows that touch are one; a pause of just ``idle`` ends a merge
+    times = F.array_sort(F.collect_list(F.struct("ts", "n"))).alias("times")
+    whole = counted.groupBy("shard", session).agg(F.sum("n").alias("requests"), F.min("ts").alias("first"), F.max("ts").alias("last"), times)
+    long = F.col("last") >= after(F.col("first"), latest)
+    merge = lambda t: F.struct(t["ts"].alias("first"), t["ts"].alias("last"), t["n"].alias("requests"))
+    kind = "array<struct<first: timestamp, last: timestamp, requests: bigint>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.element_at(F.transform("times", merge), 1).alias("open"))
+
+    def step(state: Column, t: Column) -> Column:
+        now = state["open"]
+        grown = F.struct(now["first"].alias("first"), t["ts"].alias("last"), (now["requests"] + t["n"]).alias("requests"))
+        due = t["ts"] >= after(now["first"], latest)
+        return F.when(due, F.struct(F.concat(state["done"], F.array(now)).alias("done"), merge(t).alias("open"))).otherwise(F.struct(state["done"].alias("done"), grown.alias("open")))
+
+    folded = F.aggregate(F.slice("times", 2, F.size("times")), start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
+    short = F.array(F.struct("first", "last", "requests"))
+    merges = whole.select("shard", F.inline(F.when(long, folded).otherwise(short)))
+    return merges.select("shard", "requests", "first", "last", F.least(after(F.col("last"), idle), after(F.col("first"), latest)).alias("fires"))
+
+
+def retry_times(first: float = RETRY_S, limit: float = GIVE_UP_S) -> list[float]:
+    """Waits between tries for a file that isn't there yet: each twice the one before, as long as all together stay below the limit."""
+    out: list[float] = []
+    while sum(out) + first * 2 ** len(out) < limit:
+        out.append(first * 2 ** len(out))
+    return out
 
 
 def latest_events(events: DataFrame, by: list[str], order: list[str], payload: list[str]) -> DataFrame:
@@ -93,6 +90,12 @@ def histogram(values: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"))
 
 
+def clicks(events: DataFrame, most: int = 4096) -> DataFrame:
+    """(value) lines for an append-only click log: those with a path and a line, each cut to ``most`` bytes at a character's end."""
+    rows = events.where("path IS NOT NULL AND path <> '' AND line IS NOT NULL").select(F.to_json(F.struct(*events.columns)).alias("value"))
+    return rows.select(F.when(F.octet_length("value") <= most, F.col("value")).otherwise(F.make_valid_utf8(F.substring(F.col("value").cast("binary"), 1, most).cast("string"))).alias("value"))
+
+
 def index_sizes(files: DataFrame, by: str) -> DataFrame:
     """(by, files, bytes)."""
     return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 DEPENDENCIES = ("Depends", "Suggests", "Recommends", "Enhances")
 
 
@@ -44,3 +46,12 @@ def package_ranking(sources: DataFrame, inst: DataFrame, reverse: DataFrame) ->
     summed = listed.join(reverse, listed.binary == reverse["name"], "left").groupBy("package").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     ranked = summed.join(inst.withColumnRenamed("source", "package"), "package", "left")
     return ranked.select("package", F.coalesce("inst", F.lit(0.0)).alias("inst"), F.round(dependence(F.col("n")), 6).alias("rdep"))
+
+
+def write_ranking(ranking: DataFrame, folder: str) -> str:
+    """Publish (package, inst, rdep) as JSON rows; readers see the former table until the new one is whole."""
+    return store.publish(ranking.sparkSession, folder, lambda path: ranking.select("package", "inst", "rdep").repartitionByRange(1, "package").write.json(path))
+
+
+def read_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("package string, inst double, rdep double").json(store.current(spark, folder))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,12 @@ from ..plans.trigrams import Query, trigram_code
 
 #: Three blanks, whose positions no index keeps.
 BLANKS = 0x202020
+#: Docids in a block of a decoded list.
+BLOCK = 1 << 20
 _BLOCK = 1 << 20
 
 
-def _rows(ids: pa.Array, texts: pa.Array, positions: bool) -> pa.RecordBatch:
+def _rows(ids: pa.Array, texts: pa.Array, positions: bool, wanted: np.ndarray | None) -> pa.RecordBatch:
     if pa.types.is_large_binary(texts.type) or pa.types.is_binary(texts.type):
         texts = texts.cast(pa.large_binary())
     else:
@@ -31,6 +33,8 @@ def _rows(ids: pa.Array, texts: pa.Array, positions: bool) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))[:n]
     at = np.arange(n)
     inside = at + 3 <= bounds[1:][owner] if n else np.zeros(0, dtype=bool)
+    if wanted is not None:
+        inside &= wanted[code.astype(np.int64)]
     key = (owner[inside].astype(np.uint64) << np.uint64(24)) | code[inside]
     place = at[inside] - bounds[owner[inside]]
     order = np.argsort(key, kind="stable")
@@ -45,32 +49,48 @@ def _rows(ids: pa.Array, texts: pa.Array, positions: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def postings(files: DataFrame, docid: str = "docid", content: str = "content", positions: bool = True) -> DataFrame:
+def postings(files: DataFrame, docid: str = "docid", content: str = "content", positions: bool = True, wanted: Iterable[bytes] | None = None) -> DataFrame:
     """(trigram INT, docid, n INT, positions ARRAY<INT>): a row for each byte trigram of each file, with the bytes at which it begins.
 
     Nothing is shuffled; files without three bytes have no rows, rows without an id or a content are left out.
+    With ``wanted`` only these trigrams are taken, before anything is sorted: what a query needs of files that have no index.
     """
+    codes = None if wanted is None else [trigram_code(t) for t in wanted]
     rows = files.select(F.col(docid).alias("docid"), F.col(content).alias("content")).where("docid IS NOT NULL AND content IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = None
+        if codes is not None:
+            chosen = np.zeros(1 << 24, dtype=bool)
+            chosen[codes] = True
         for batch in batches:
             ids, texts = batch.column("docid"), batch.column("content")
             size = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.zeros(0)
             start = 0
             while start < len(texts):
                 end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + _BLOCK, side="right")))
-                yield _rows(ids.slice(start, end - start), texts.slice(start, end - start), positions)
+                yield _rows(ids.slice(start, end - start), texts.slice(start, end - start), positions, chosen)
                 start = end
 
     kind = rows.schema["docid"].dataType.simpleString()
     return rows.mapInArrow(run, f"trigram int, docid {kind}, n int" + ", positions array<int>" * positions)
 
 
+#: An index: a table of postings, or what makes one of the trigrams that are asked for.
+Index = DataFrame | Callable[[list[bytes]], DataFrame]
+
+
 def write_index(files: DataFrame, folder: str, partitions: int | None = None) -> None:
-    """Publish postings as Parquet, ranged and sorted by trigram, so that a lookup reads few row groups."""
+    """Write postings as Parquet, ranged and sorted by trigram, so that a lookup reads few row groups; see :mod:`store` for publishing."""
     index = postings(files)
     index = index.repartitionByRange(partitions, "trigram") if partitions else index.repartitionByRange("trigram")
-    index.sortWithinPartitions("trigram", "docid").write.mode("overwrite").parquet(folder)
+    index.sortWithinPartitions("trigram", "docid").write.parquet(folder)
+
+
+def listed(index: Index, trigrams: list[bytes]) -> DataFrame:
+    """The postings of some trigrams: pushed down to a written index, or extracted alone."""
+    rows = index if isinstance(index, DataFrame) else index(trigrams)
+    return rows.where(F.col("trigram").isin(*map(trigram_code, trigrams)))
 
 
 def distinct_trigrams(files: DataFrame) -> DataFrame:
@@ -84,6 +104,11 @@ def trigram_meta(index: DataFrame) -> DataFrame:
     return index.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_pos"))
 
 
+def sources_of(index: DataFrame) -> DataFrame:
+    """(trigram, sources) from (trigram, source): which indexes have a trigram at all, in order, so that a merge reads no others."""
+    return index.groupBy("trigram").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+
+
 def posting_list(index: DataFrame, trigram: bytes) -> DataFrame:
     """(docid), ascending."""
     return index.where(F.col("trigram") == trigram_code(trigram)).select("docid").orderBy("docid")
@@ -97,9 +122,17 @@ def posting_deltas(index: DataFrame, trigram: bytes) -> DataFrame:
 
 
 def decode_deltas(deltas: DataFrame, order: str, by: str | None = None) -> DataFrame:
-    """Running sums of ``delta``: the docids again."""
-    window = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.withColumn("docid", F.sum("delta").over(window))
+    """Running sums of ``delta``: the docids again. ``order`` is a whole number.
+
+    One list without ``by`` is cut into blocks of ``order``: their sums give each block's offset, and only these few are summed in one place.
+    """
+    if by:
+        return deltas.withColumn("docid", F.sum("delta").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    block = (F.col(order) / BLOCK).cast("bigint")
+    sums = deltas.groupBy(block.alias("block")).agg(F.sum("delta").alias("sum"))
+    offsets = sums.select("block", (F.sum("sum").over(Window.partitionBy().orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("offset"))
+    local = F.sum("delta").over(Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return deltas.withColumn("block", block).join(offsets, "block").select(*deltas.columns, (local + F.col("offset")).alias("docid"))
 
 
 def positions_of(index: DataFrame, trigram: bytes) -> DataFrame:
@@ -126,7 +159,7 @@ def condition(query: Query, has) -> Column:
     return out
 
 
-def candidates(index: DataFrame, query: Query, files: DataFrame) -> DataFrame:
+def candidates(index: Index, query: Query, files: DataFrame) -> DataFrame:
     """(docid) of the documents that meet a trigram query.
 
     The lists of all its trigrams are read in one scan and meet in one shuffle of
@@ -135,7 +168,7 @@ def candidates(index: DataFrame, query: Query, files: DataFrame) -> DataFrame:
     if not query.usable:
         return files.select("docid").where(F.lit(query.op == "all"))
     leaves = sorted(query.leaves())
-    rows = index.where(F.col("trigram").isin(*map(trigram_code, leaves))).select("docid", "trigram")
+    rows = listed(index, leaves).select("docid", "trigram")
     if len(leaves) == 1:
         return rows.select("docid").distinct()
     flags = [F.max(F.col("trigram") == trigram_code(t)).alias(f"t{i}") for i, t in enumerate(leaves)]
@@ -143,16 +176,23 @@ def candidates(index: DataFrame, query: Query, files: DataFrame) -> DataFrame:
     return seen.where(condition(query, lambda t: F.col(f"t{leaves.index(t)}"))).select("docid")
 
 
-def phrase_positions(index: DataFrame, literal: bytes) -> DataFrame:
-    """(docid, pos) at which the literal's first trigram stands with its last one as far behind it as in the literal; to be verified if it is longer than six bytes."""
+def phrase_positions(index: Index, literal: bytes) -> DataFrame:
+    """(docid, pos) at which the literal's first trigram stands with its last one as far behind it as in the literal; to be verified if it is longer than six bytes.
+
+    Both lists come from one scan and meet in one shuffle, as arrays of a document.
+    """
     if len(literal) < 3:
         raise ValueError("a literal of fewer than three bytes has no trigram")
-    first = index.where(F.col("trigram") == trigram_code(literal[:3])).select("docid", F.explode("positions").alias("pos"))
-    shift = len(literal) - 3
+    first, last, shift = trigram_code(literal[:3]), trigram_code(literal[-3:]), len(literal) - 3
+    rows = listed(index, [literal[:3], literal[-3:]])
     if not shift:
-        return first
-    last = index.where(F.col("trigram") == trigram_code(literal[-3:])).select("docid", F.explode(F.transform("positions", lambda p: p - shift)).alias("pos"))
-    return first.join(last, ["docid", "pos"])
+        return rows.select("docid", F.explode("positions").alias("pos"))
+    if first == last:
+        both = rows.select("docid", F.col("positions").alias("a"), F.col("positions").alias("b"))
+    else:
+        side = lambda code, name: F.max(F.when(F.col("trigram") == code, F.col("positions"))).alias(name)
+        both = rows.groupBy("docid").agg(side(first, "a"), side(last, "b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return both.select("docid", F.explode(F.array_intersect("a", F.transform("b", lambda p: p - shift))).alias("pos"))
 
 
 def verified(places: DataFrame, files: DataFrame, literal: bytes) -> DataFrame:
@@ -179,8 +219,10 @@ def concatenate(index: DataFrame, sources: DataFrame) -> DataFrame:
 def override(older: DataFrame, newer: DataFrame, roots: DataFrame) -> DataFrame:
     """Files of two indexes; below a root of the newer one only its own. ``roots`` has (root), whole path prefixes.
 
-    The prefixes of a path are its own few; joining on them keeps this an equi-join.
+    A path is joined by its prefixes of those lengths that roots have, which are few: their number is read first.
     """
-    owned = older.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.substr("path", F.lit(1), i))).alias("root"))
-    taken = owned.join(roots.select("root").distinct(), "root").select("path").distinct()
+    roots = roots.select("root").where("root IS NOT NULL").distinct()
+    lengths = [r.n for r in roots.select(F.length("root").alias("n")).distinct().collect()]
+    prefixes = F.filter(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.when(n <= F.length("path"), F.substr("path", F.lit(1), n))), lambda p: p.isNotNull())
+    taken = older.select("path", F.explode(prefixes).alias("root")).join(roots, "root").select("path").distinct()
     return older.join(taken, "path", "left_anti").unionByName(newer)

@@ -60,12 +60,21 @@ def rank_files(files: DataFrame, popularity: DataFrame | None, search: Search) -
 
 
 def rank_lines(hits: DataFrame, search: Search) -> DataFrame:
-    """Adds ``ranking`` of the line and ``rank``: the file's and, scaled by the best file of all, the line's."""
-    ranked = hits.withColumn("ranking", F.round(line_match(search.query, F.col("context")), DIGITS))
-    best = hits.agg(F.max("pathrank").alias("best"))
+    """Adds ``ranking`` of the line and ``rank``: the file's and, scaled by the best file of all, the line's.
+
+    The best is taken from the same shuffled hits that it scales: its maximum runs
+    over whole rows, so both read one exchange and the texts are searched once.
+    """
+    ranked = hits.withColumn("ranking", F.round(line_match(search.query, F.col("context")), DIGITS)).hint("rebalance")
+    best = ranked.agg(F.max(F.struct("pathrank", *[c for c in ranked.columns if c != "pathrank"])).alias("top")).select(F.col("top.pathrank").alias("best"))
     return ranked.crossJoin(F.broadcast(best)).withColumn("rank", F.round(F.col("pathrank") + F.col("best") * LINE * F.col("ranking"), DIGITS)).drop("best")
 
 
+def candidate_order() -> list[Column]:
+    """The order in which candidate files are read: the best first, then by path, descending."""
+    return [F.desc("pathrank"), F.desc("path")]
+
+
 def total_order() -> list[Column]:
     """The order of results; ties in rank go by a hash of the path, which mixes packages, then by path and line."""
     return [F.desc("rank"), F.desc(F.md5("path")), F.asc("path"), F.asc("line")]

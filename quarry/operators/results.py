@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import package_of, release_of
@@ -22,6 +22,33 @@ def page(ranked: DataFrame, number: int, size: int = PAGE) -> DataFrame:
     return ranked.orderBy(*total_order()).offset(number * size).limit(size)
 
 
+class NoSuchPage(LookupError):
+    """A page beyond the one after the last."""
+
+
+def checked_page(ranked: DataFrame, number: int, size: int = PAGE) -> DataFrame:
+    """Page ``number`` as :func:`page` gives it; NoSuchPage for a negative one and for one beyond the empty page after the last."""
+    pages = -(-ranked.count() // size)
+    if not 0 <= number <= pages:
+        raise NoSuchPage(f"page {number} of {pages}")
+    return page(ranked, number, size)
+
+
+def shown_packages(ranked: DataFrame, limit: int = SHOWN) -> DataFrame:
+    """The first packages, by name, that a result page links to."""
+    return packages_with_results(ranked, limit)
+
+
+def shown_lines(ranked: DataFrame) -> DataFrame:
+    """(path, line, before ARRAY, context, after ARRAY) as a page shows them: four blanks for each leading tab, no blank lines around."""
+    def shown(line: Column) -> Column:
+        tabs = F.regexp_extract(line, r"^\t*", 0)
+        return F.concat(F.repeat(F.lit("    "), F.length(tabs)), F.substr(line, F.length(tabs) + 1))
+
+    lines = lambda *names: F.transform(F.filter(F.array(*map(F.col, names)), lambda x: F.btrim(x, F.lit(" \t\r")) != ""), shown)
+    return ranked.select("path", "line", lines("ctxp2", "ctxp1").alias("before"), shown(F.col("context")).alias("context"), lines("ctxn1", "ctxn2").alias("after"))
+
+
 def page_counts(ranked: DataFrame) -> DataFrame:
     """(results, pages, packages, package_pages)."""
     counted = ranked.agg(F.count(F.lit(1)).alias("results"), F.countDistinct(release_of(F.col("path"))).alias("packages"))

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.versions import sort_key, version_struct, version_text
 from .operators import grep as G
-from .operators import lifecycle, popularity, postings, ranking, results
+from .operators import lifecycle, popularity, postings, ranking, results, store
 from .plans.keywords import Search, file_filter, rewrite
 from .search import plan, search
-from .sources import corpus
+from .sources import control, corpus
 
 #: Expressions that the queries use.
 WORD, CLASS, FOLDED, LITERAL, REGEXP = "thing", r"[aeiou]nth\b", "(?i)THING", "attion th", "th(ing|tion) .*ble"
@@ -120,7 +120,7 @@ _filters("filter_package", "package:1$", "regexp_matches(package, '1$')")
 _filters("filter_npackage", "-package:[02468]$", "NOT regexp_matches(package, '[02468]$')")
 _filters("filter_path", "path:/de/", "contains(path, '/de/')")
 _filters("filter_npath", "-path:doc[0-4]", "NOT regexp_matches(path, 'doc[0-4]')")
-_filters("filter_nfile", "-file:doc[0-4]", "NOT regexp_matches(path, 'doc[0-4]')")
+_filters("filter_nfile", "-file:/en/.*7", "NOT regexp_matches(path, '/en/.*7')")
 _filters("filter_filetype", "filetype:perl", "regexp_matches(path, '[.](pl|pm|t)$')")
 _filters("filter_nfiletype", "-filetype:python", "NOT regexp_matches(path, '[.]py$')")
 
@@ -155,8 +155,20 @@ def index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the index -------------------------------------------------------------------
 
 
-def _index(spark: SparkSession, sf_dir: str, positions: bool = True) -> DataFrame:
-    return postings.postings(corpus_files(spark, sf_dir), positions=positions)
+def _index(spark: SparkSession, sf_dir: str, positions: bool = True, wanted: list[bytes] | None = None) -> DataFrame:
+    return postings.postings(corpus_files(spark, sf_dir), positions=positions, wanted=wanted)
+
+
+def _lists(spark: SparkSession, sf_dir: str, positions: bool = True) -> postings.Index:
+    """Extracts the trigrams that a query asks for."""
+    return lambda wanted: _index(spark, sf_dir, positions, wanted)
+
+
+def _published(spark: SparkSession, files: DataFrame, name: str) -> str:
+    """The folder of an index that is published for this session."""
+    folder = f"{store.shared_folder(spark)}/quarry-index/{spark.sparkContext.applicationId}/{name}"
+    store.publish_index(files.where("content IS NOT NULL"), folder)
+    return folder
 
 
 @query(f"WITH {_FILES}, {_POSTINGS} SELECT docid, count(DISTINCT t) AS n_trigrams FROM files LEFT JOIN places USING (docid) GROUP BY docid")
@@ -175,29 +187,29 @@ def _has(text: str) -> str:
 
 @query(f"WITH {_FILES} SELECT docid FROM files WHERE {_has('ing')}")
 def posting_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.posting_list(_index(spark, sf_dir, positions=False), b"ing")
+    return postings.posting_list(_index(spark, sf_dir, False, [b"ing"]), b"ing")
 
 
 @query(f"WITH {_FILES} SELECT docid, (docid - coalesce(lag(docid) OVER (ORDER BY docid), 0))::BIGINT AS delta FROM files WHERE {_has('ing')}")
 def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.posting_deltas(_index(spark, sf_dir, positions=False), b"ing")
+    return postings.posting_deltas(_index(spark, sf_dir, False, [b"ing"]), b"ing")
 
 
 @query(f"WITH {_FILES} SELECT docid FROM files WHERE {_has('ing')}")
 def posting_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deltas = postings.posting_deltas(_index(spark, sf_dir, positions=False), b"ing").withColumnRenamed("docid", "place")
+    deltas = postings.posting_deltas(_index(spark, sf_dir, False, [b"ing"]), b"ing").withColumnRenamed("docid", "place")
     return postings.decode_deltas(deltas, "place").select("docid")
 
 
 @query(f"WITH {_FILES}, {_POSTINGS} SELECT docid, pos, pos = min(pos) OVER (PARTITION BY docid) AS new_doc FROM places WHERE t = '{_hex('ing')}'")
 def posting_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.positions_of(_index(spark, sf_dir), b"ing")
+    return postings.positions_of(_index(spark, sf_dir, wanted=[b"ing"]), b"ing")
 
 
 def _candidate_query(name: str, pattern: str, condition: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = corpus_files(spark, sf_dir).where("content IS NOT NULL")
-        return postings.candidates(postings.postings(files, positions=False), plan(pattern)[2], files)
+        return postings.candidates(_lists(spark, sf_dir, False), plan(pattern)[2], files)
 
     run.__name__ = name
     query(f"WITH {_FILES} SELECT docid FROM files WHERE {condition}")(run)
@@ -212,7 +224,7 @@ _candidate_query("posting_none", r"[^\s\S]", "false")
 
 @query(f"WITH {_FILES}, {_POSTINGS}, whole AS (SELECT docid, pos, b || {' || '.join(f'lead(b, {k}) OVER w' for k in range(1, len(LITERAL)))} AS t FROM bytes WINDOW w AS (PARTITION BY docid ORDER BY pos)) SELECT docid, pos FROM whole WHERE t = '{_hex(LITERAL)}'")
 def positional_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = postings.phrase_positions(_index(spark, sf_dir), LITERAL.encode())
+    found = postings.phrase_positions(_lists(spark, sf_dir), LITERAL.encode())
     return postings.verified(found, corpus_files(spark, sf_dir), LITERAL.encode())
 
 
@@ -237,7 +249,7 @@ def concat_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus_files(spark, sf_dir).where("content IS NOT NULL")
     local = files.withColumn("docid", F.row_number().over(Window.partitionBy("package").orderBy("docid")) - 1)
     key = F.struct("package", "docid")
-    index = postings.postings(local.select(key.alias("docid"), "content"), positions=False).select(F.col("docid.package").alias("source"), "trigram", F.col("docid.docid").alias("docid"))
+    index = postings.postings(local.select(key.alias("docid"), "content"), positions=False, wanted=[b"ing"]).select(F.col("docid.package").alias("source"), "trigram", F.col("docid.docid").alias("docid"))
     sizes = files.groupBy(F.col("package").alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
     return postings.concatenate(index.where(F.col("trigram") == postings.trigram_code(b"ing")), sizes).select("docid")
 
@@ -253,8 +265,8 @@ def merge_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILES}, {_POSTINGS} SELECT {_code('t')} AS trigram, list_sort(list(DISTINCT package)) AS sources FROM places JOIN files USING (docid) GROUP BY t")
 def trigram_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir, positions=False).join(corpus_files(spark, sf_dir).select("docid", "package"), "docid")
-    return index.groupBy("trigram").agg(F.sort_array(F.collect_set("package")).alias("sources"))
+    files = corpus_files(spark, sf_dir).select(F.struct(F.col("docid"), F.col("package")).alias("docid"), "content")
+    return postings.sources_of(postings.postings(files, positions=False).select("trigram", F.col("docid.package").alias("source")))
 
 
 # --- ranking and results -------------------------------------------------------------------
@@ -288,12 +300,20 @@ def _search(spark: SparkSession, sf_dir: str, text: str = WORD, **options) -> Da
     return search(files, text, popularity=package_popularity(spark, sf_dir), **options)
 
 
+def _shown(line: str) -> str:
+    return rf"repeat('    ', length(regexp_extract({line}, '^\t*'))) || substring({line}, length(regexp_extract({line}, '^\t*')) + 1)"
+
+
+def _shown_list(*lines: str) -> str:
+    return f"list_filter([{', '.join(f'CASE WHEN trim({x}, chr(32) || chr(9) || chr(13)) <> {chr(39) * 2} THEN {_shown(x)} END' for x in lines)}], lambda x: x IS NOT NULL)"
+
+
 _HITS = _ranked(WORD, f"contains(context, '{WORD}')")
 
 
 @query(f"WITH {_HITS} SELECT {_RESULT} FROM ranked")
 def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, index=_index(spark, sf_dir))
+    return _search(spark, sf_dir, index=_lists(spark, sf_dir))
 
 
 @query(f"WITH {_ranked(WORD, f'''contains(context, '{WORD}')''', weight='0.75', files='''regexp_matches(path, '[.](c|h)$') AND NOT contains(path, '/doc1')''')} SELECT {_RESULT} FROM ranked")
@@ -303,7 +323,7 @@ def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ranked('zzzz', f'''regexp_matches(context, '{REGEXP}')''')} SELECT docid, line::INT AS line, context FROM ranked")
 def search_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, REGEXP, index=_index(spark, sf_dir)).select("docid", "line", "context")
+    return _search(spark, sf_dir, REGEXP, index=_lists(spark, sf_dir, False)).select("docid", "line", "context")
 
 
 @query(f"WITH {_HITS} SELECT {_RESULT} FROM ranked ORDER BY {_ORDER} LIMIT 10")
@@ -316,6 +336,48 @@ def page_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.page(_search(spark, sf_dir), 2)
 
 
+@query(f"WITH {_HITS} SELECT {_RESULT} FROM ranked ORDER BY {_ORDER} LIMIT 10 OFFSET (SELECT (count(*) - 1) // 10 * 10 FROM ranked)")
+def page_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page; the one after it is empty, and those beyond raise."""
+    ranked = _search(spark, sf_dir)
+    last = (ranked.count() - 1) // results.PAGE
+    for number in (-1, last + 2):
+        try:
+            results.checked_page(ranked, number)
+        except results.NoSuchPage:
+            continue
+        raise AssertionError(f"there is a page {number}")
+    return results.checked_page(ranked, last).unionByName(results.checked_page(ranked, last + 1))
+
+
+@query(f"WITH {_HITS} SELECT path, line::INT AS line, {_shown('context')} AS context, {_shown_list('ctxp2', 'ctxp1')} AS before, {_shown_list('ctxn1', 'ctxn2')} AS after FROM ranked")
+def shown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.shown_lines(_search(spark, sf_dir))
+
+
+@query(f"WITH {_HITS} SELECT DISTINCT split_part(path, '/', 1) AS package FROM ranked ORDER BY 1 LIMIT 100")
+def first_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.shown_packages(_search(spark, sf_dir))
+
+
+@query(f"WITH {_HITS} SELECT {_RESULT} FROM ranked")
+def search_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search, by an index that is written and published first."""
+    folder = _published(spark, corpus_files(spark, sf_dir), "search")
+    return _search(spark, sf_dir, index=store.index(spark, folder))
+
+
+@query(f"WITH {_FILES} SELECT docid, docid % 2 = 0 AS before FROM files WHERE {_has('ing')}")
+def index_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half of the files is published, opened, and replaced by one of them all: the reader that has it open sees its files still, a new one all."""
+    files = corpus_files(spark, sf_dir)
+    folder = _published(spark, files.where("docid % 2 = 0"), "swap")
+    before = postings.posting_list(store.index(spark, folder), b"ing")
+    _published(spark, files, "swap")
+    after = postings.posting_list(store.index(spark, folder), b"ing")
+    return after.join(before.withColumn("before", F.lit(True)), "docid", "left").select("docid", F.coalesce("before", F.lit(False)).alias("before"))
+
+
 @query(f"WITH {_HITS} SELECT count(*) AS results, ceil(count(*) / 10)::BIGINT AS pages, count(DISTINCT split_part(path, '/', 1)) AS packages, ceil(count(DISTINCT split_part(path, '/', 1)) / 5)::BIGINT AS package_pages FROM ranked")
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.page_counts(_search(spark, sf_dir))
@@ -351,6 +413,14 @@ def newest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.newest_versions(corpus_files(spark, sf_dir).where("content IS NOT NULL"))
 
 
+@query("""WITH v AS (SELECT source, doc_id % 13 AS minor, doc_id % 5 = 0 AS early FROM documents)
+SELECT source AS package, '1.' || minor || CASE WHEN early THEN '~rc1' ELSE '' END || '-1' AS version FROM v QUALIFY row_number() OVER (PARTITION BY source ORDER BY minor DESC, early) = 1""")
+def newest_numeric_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1.12 is newer than 1.9, and than 1.12~rc1."""
+    version = F.concat(F.lit("1."), F.col("doc_id") % 13, F.when(F.col("doc_id") % 5 == 0, "~rc1").otherwise(""), F.lit("-1"))
+    return results.newest_versions(table(spark, sf_dir, "documents").select(F.col("source").alias("package"), version.alias("version")))
+
+
 @query(f"WITH {_HITS} SELECT docid, line::INT AS line FROM ranked r JOIN (SELECT package, max(version) AS version FROM files GROUP BY package) v ON r.path LIKE v.package || '@_' || v.version || '/%' ESCAPE '@'")
 def newest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus_files(spark, sf_dir).where("content IS NOT NULL")
@@ -375,11 +445,22 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(order, "key").select("doc_id", "v.epoch", "v.version", "v.revision", version_text(F.col("v")).alias("shown"), "place")
 
 
-@query(f"WITH {_FILES}, {_POPULARITY} SELECT docid, coalesce(inst, 0) AS inst, coalesce(rdep, 0) AS rdep FROM files LEFT JOIN popularity USING (package)")
+_PATHRANK = f"round(1 + 0.3840 * coalesce(inst, 0) + 0.3427 * coalesce(rdep, 0) + 0.1460 * {_name_match('path', WORD)} + 0.0008 * {_name_match('f.package', WORD)}, 6)"
+
+
+@query(f"WITH {_FILES}, {_POPULARITY} SELECT docid, {_PATHRANK} AS pathrank FROM files f LEFT JOIN popularity p ON p.package = f.package")
 def rank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus_files(spark, sf_dir).where("content IS NOT NULL")
-    joined = files.join(package_popularity(spark, sf_dir), "package", "left")
-    return joined.select("docid", F.coalesce("inst", F.lit(0.0)).alias("inst"), F.coalesce("rdep", F.lit(0.0)).alias("rdep"))
+    files = corpus_files(spark, sf_dir).where("content IS NOT NULL").select("docid", "path")
+    return ranking.rank_files(files, package_popularity(spark, sf_dir), rewrite(WORD)).select("docid", "pathrank")
+
+
+@query(f"WITH {_FILES}, {_POPULARITY} SELECT docid, path, {_PATHRANK} AS pathrank FROM files f LEFT JOIN popularity p ON p.package = f.package WHERE {_has('thi')} AND {_has('hin')} AND {_has('ing')} ORDER BY pathrank DESC, path DESC LIMIT 50")
+def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty candidates that are read first."""
+    files = corpus_files(spark, sf_dir).select("docid", "path")
+    found = postings.candidates(_lists(spark, sf_dir, False), plan(WORD)[2], files)
+    ranked = ranking.rank_files(files.join(found, "docid", "left_semi"), package_popularity(spark, sf_dir), rewrite(WORD))
+    return ranked.orderBy(*ranking.candidate_order()).limit(50)
 
 
 @query(f"WITH {_FILES} SELECT docid, round({_name_match('path', 'doc1')}, 6) AS m FROM files")
@@ -388,18 +469,111 @@ def path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("docid", F.round(ranking.name_match("doc1", F.col("path")), 6).alias("m"))
 
 
-@query("SELECT event_type AS source, round(count(*) / (SELECT count(*) FROM events WHERE event_type IS NOT NULL) * 1000, 6) AS inst FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+@query("SELECT upper(event_type) AS source, round(count(*) / (SELECT count(*) FROM events WHERE event_type > (SELECT min(event_type) FROM events)) * 1000, 6) AS inst FROM events WHERE event_type > (SELECT min(event_type) FROM events) GROUP BY event_type")
 def install_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    owners = events.select("event_type").where("event_type IS NOT NULL").distinct().select(F.col("event_type").alias("binary"), F.col("event_type").alias("source"))
-    return popularity.installations(events.select(F.col("event_type").alias("binary"), F.lit(1).alias("n")), owners)
+    """Event types as binaries; the least has no source package and is dropped before the total."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("binary"), F.lit(1).alias("n")).where("binary IS NOT NULL")
+    kinds = events.select("binary").distinct()
+    owners = kinds.crossJoin(kinds.agg(F.min("binary").alias("least"))).where("binary > least").select("binary", F.upper("binary").alias("source"))
+    return popularity.installations(events, owners)
 
 
-@query("SELECT 'p' || l_partkey AS name, count(DISTINCT l_orderkey) AS n, round(1 - 1 / (count(DISTINCT l_orderkey) + 1), 6) AS rdep FROM lineitem GROUP BY l_partkey")
+@query("""WITH named AS (SELECT DISTINCT l_orderkey, 'p' || l_partkey AS name FROM lineitem UNION SELECT DISTINCT l_orderkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber = 1)
+SELECT name, count(*) AS n, round(1 - 1 / (count(*) + 1), 6) AS rdep FROM named GROUP BY name""")
 def reverse_dep_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order as a package, its parts as what it depends on."""
-    packages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit(" p"), "l_partkey", F.lit(" (>= 1)"))), ",").alias("Depends"))
-    return popularity.reverse_dependencies(packages, ("Depends",)).withColumn("rdep", F.round(popularity.dependence(F.col("n")), 6))
+    """An order as a package: its parts in Depends and again in Recommends, as alternatives, its first supplier in Suggests, nothing in Enhances."""
+    part, supplier = F.concat(F.lit(" p"), "l_partkey", F.lit(" (>= 1)")), F.when(F.col("l_linenumber") == 1, F.concat(F.lit("s"), "l_suppkey", F.lit(":any")))
+    lists = [F.array_join(F.collect_list(part), ",").alias("Depends"), F.array_join(F.collect_list(part), " |").alias("Recommends"), F.array_join(F.collect_list(supplier), ", ").alias("Suggests")]
+    packages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*lists).withColumn("Enhances", F.lit(None).cast("string"))
+    return popularity.reverse_dependencies(packages).withColumn("rdep", F.round(popularity.dependence(F.col("n")), 6))
+
+
+@query("""WITH orders_of AS (SELECT c_nationkey, c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer),
+owned AS (SELECT c_nationkey AS k, c_custkey % 7 AS n FROM customer WHERE c_custkey % 3 <> 0),
+inst AS (SELECT k, sum(n) / (SELECT sum(n) FROM owned) * 1000 AS inst FROM owned GROUP BY k),
+rdep AS (SELECT c_nationkey AS k, sum(n) AS n FROM orders_of GROUP BY 1)
+SELECT n_name AS package, round(coalesce(inst, 0), 6) AS inst, round(1 - 1 / (coalesce(rdep.n, 0) + 1), 6) AS rdep
+FROM nation LEFT JOIN inst ON inst.k = n_nationkey LEFT JOIN rdep ON rdep.k = n_nationkey WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
+def package_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as source packages, customers as their binaries, orders as what depends on them; one customer of three has no owner."""
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    binary = F.concat(F.lit("c"), "c_custkey")
+    sources = customers.groupBy(F.col("n_name").alias("package")).agg(F.array_join(F.collect_list(binary), ", ").alias("binaries"))
+    inst = popularity.installations(customers.select(binary.alias("binary"), (F.col("c_custkey") % 7).alias("n")), customers.where("c_custkey % 3 <> 0").select(binary.alias("binary"), F.col("n_name").alias("source")))
+    reverse = popularity.reverse_dependencies(table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey", F.lit(" [amd64]")).alias("Depends")), ("Depends",))
+    return popularity.package_ranking(sources, inst, reverse)
+
+
+@query(f"WITH {_POPULARITY} SELECT package, inst, rdep FROM popularity")
+def ranking_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking table written twice, the second time whole, and read as it is published."""
+    folder, ranking_table = f"{store.shared_folder(spark)}/quarry-ranking/{spark.sparkContext.applicationId}", package_popularity(spark, sf_dir)
+    popularity.write_ranking(ranking_table.limit(1), folder)
+    popularity.write_ranking(ranking_table, folder)
+    return popularity.read_ranking(spark, folder)
+
+
+@query("SELECT 's' || s_suppkey AS package, s_name AS maintainer, 'n' || s_nationkey || ', base (>= 1)' AS depends, count(*) OVER () AS paragraphs FROM supplier")
+def control_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as paragraphs of a control file, with a continued line, a comment of other case and blank paragraphs, and parsed."""
+    text = F.concat(F.lit("Package: s"), "s_suppkey", F.lit("\nMaintainer:  "), "s_name", F.lit("\nDepends: n"), "s_nationkey", F.lit(",\n base (>= 1)\n"))
+    rows = table(spark, sf_dir, "supplier").select(F.explode(F.array(text, F.lit(""), F.lit("\n"))).alias("value"))
+    fields = control.parse_paragraphs(rows).select(*[F.col("fields")[n].alias(n.lower()) for n in ("Package", "Maintainer", "Depends")])
+    total = fields.agg(F.count(F.lit(1)).alias("paragraphs"))
+    return fields.select("package", "maintainer", F.regexp_replace("depends", r"\s+", " ").alias("depends")).crossJoin(F.broadcast(total))
+
+
+@query("SELECT 'p' || (p_partkey % 50) AS binary, sum(p_size + 3)::BIGINT AS n FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1")
+def install_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of installation counts, some for an architecture; one of five is no such line, in four ways."""
+    name = F.concat(F.lit("p"), F.col("p_partkey") % 50)
+    good = F.concat(F.lit("Package: "), name, F.when(F.col("p_partkey") % 2 == 0, ":amd64").otherwise(""), F.lit("   "), "p_size", F.lit(" 1 1 1 "))
+    bad = F.element_at(F.array(F.concat(F.lit("Vendor: "), name, F.lit(" 1 1 1 1")), F.concat(F.lit("Package: "), name, F.lit(" 1 1")), F.concat(F.lit("Package: !"), name, F.lit(" 1 1 1 1")), F.concat(F.lit("Package: "), name, F.lit(" x 1 1 1"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return control.installation_counts(table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 5 != 0, good).otherwise(bad).alias("value")))
+
+
+_NAMED = """CASE doc_id % 6 WHEN 0 THEN 'pkg' || doc_id || '-data' WHEN 1 THEN 'lib' || source WHEN 2 THEN 'sagemath-database-' || doc_id WHEN 3 THEN 'kicad-packages3d' WHEN 4 THEN 'kicad-packages3d-' || doc_id ELSE source END"""
+
+
+@query(f"SELECT doc_id, {_NAMED} AS package, doc_id % 6 NOT IN (0, 2, 3) AS fed FROM documents")
+def feed_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_NAMED).alias("package"))
+    return rows.select("doc_id", "package", corpus.fed(F.col("package")).alias("fed"))
+
+
+@query(f"SELECT doc_id, CASE WHEN starts_with(p, 'lib') THEN substring(p, 1, 4) ELSE substring(p, 1, 1) END || '/' || p AS folder FROM (SELECT doc_id, {_NAMED} AS p FROM documents)")
+def pool_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_NAMED).alias("p"))
+    return rows.select("doc_id", F.concat(T.pool_folder(F.col("p")), F.lit("/"), "p").alias("folder"))
+
+
+_ARCHIVES = ("a.tar.gz", "b.tar.xz", "c.tar.bz2", "d.tar.lz", "e.tar.gz.asc", "f.tgz", "g.tar.Z", "h.tar.xz.tar.gz", "tar.gz", "i.tar.")
+_PATHS = ("src/a.c", "a\nb.c", ".git/x.c", "x/.pc/y.c", "COPYING", "doc/foo.1", "po/x.dic", "CMakeLists.txt.xml", "y.xml", "big.json", "small.json", "libtool.m4/z.c")
+_REASONS = (None, "newline in path", "directory", "directory", "file name", "manual page", "suffix", None, "suffix", "large for its suffix", None, "directory")
+
+
+def _choice(values: tuple, sql: bool) -> str:
+    quoted = ["NULL" if v is None else "'" + v.replace("\n", "' || chr(10) || '") + "'" for v in values]
+    return f"CASE doc_id % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(quoted)) + " END"
+
+
+@query(f"SELECT doc_id, {_choice(_ARCHIVES, True)} AS name, doc_id % {len(_ARCHIVES)} < 4 AS archive FROM documents")
+def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_choice(_ARCHIVES, False)).alias("name"))
+    return rows.select("doc_id", "name", T.is_tar(F.col("name")).alias("archive"))
+
+
+@query(f"SELECT doc_id, {_choice(_REASONS, True)} AS rejection FROM documents")
+def admission_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reason for which a path isn't admitted, and near misses."""
+    path = F.expr(_choice(_PATHS, False))
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.when(F.col("doc_id") % len(_PATHS) == 9, 70_000).otherwise(10).alias("size"))
+    return rows.select("doc_id", corpus.path_rejection(F.col("path"), F.col("size")).alias("rejection"))
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT split_part(path, '/', 1) AS release FROM files")
+def package_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.packages(corpus_files(spark, sf_dir).where("content IS NOT NULL"))
 
 
 @query("SELECT human, count(*) AS n FROM (SELECT CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f K', n / 1024) END AS human FROM (SELECT strlen(text) AS n FROM documents WHERE text IS NOT NULL)) GROUP BY human")

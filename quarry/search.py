@@ -35,10 +35,10 @@ def query_id(query: str, literal: bool = False) -> str:
     return f"{fnv1_64(f'q={quote_plus(query)}&literal={int(literal)}'.encode()):x}"
 
 
-def search(files: DataFrame, query: str, *, index: DataFrame | None = None, popularity: DataFrame | None = None, literal: bool = False) -> DataFrame:
+def search(files: DataFrame, query: str, *, index: postings.Index | None = None, popularity: DataFrame | None = None, literal: bool = False) -> DataFrame:
     """Ranked matching lines: docid, path, line, surroundings, pathrank, ranking, rank.
 
-    With an index the trigram query, or for a case-sensitive literal of four bytes
+    With an index (a table, or what extracts the wanted trigrams) the trigram query, or for a case-sensitive literal of four bytes
     and more the positions of its ends, narrows the files first; without one, and for
     queries that have no trigram, all files that pass the keywords are read. The
     results are the same. Contents join the candidates last.

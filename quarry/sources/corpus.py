@@ -30,14 +30,31 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("docid"), F.col("source").alias("package"), version.alias("version"), path.alias("path"), F.col("text").alias("content"), F.octet_length("text").cast("bigint").alias("size"))
 
 
-def from_tree(spark: SparkSession, folder: str, trim: str = "") -> DataFrame:
-    """(path, content BINARY, size) of all regular files below a folder, ``trim`` taken off the paths; contents are read only if used."""
+def from_tree(spark: SparkSession, folder: str, trim: str = "", ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content BINARY, size) of all regular files below a folder, ``trim`` taken off the paths; contents are read only if used.
+
+    Whole subtrees of the ``ignored`` folder names are skipped: the condition is on the path, which the source filters before it opens a file.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     path = F.regexp_replace("path", r"^file:/*", "/")
     path = F.when(path.startswith(trim), F.substr(path, F.lit(len(trim) + 1))).otherwise(path) if trim else path
+    if ignored:
+        found = found.where(~F.arrays_overlap(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), F.array(*map(F.lit, ignored))))
     return found.select(path.alias("path"), "content", F.col("length").alias("size"))
 
 
+def admitted(files: DataFrame, n_trigrams: Column) -> tuple[DataFrame, DataFrame]:
+    """(admitted, rejected with their ``rejection``) of files with path, content and size."""
+    judged = files.withColumn("rejection", F.coalesce(path_rejection(F.col("path"), F.col("size")), content_rejection(F.col("content"), n_trigrams)))
+    return judged.where("rejection IS NULL").drop("rejection"), judged.where("rejection IS NOT NULL")
+
+
+def packages(files: DataFrame) -> DataFrame:
+    """(release): the sorted list of what the corpus holds, without unfinished uploads (.tmp)."""
+    release = F.substring_index("path", "/", 1)
+    return files.where(~release.endswith(".tmp")).select(release.alias("release")).distinct().orderBy("release")
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
