@@ -9,7 +9,12 @@ from .storage import Table
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (left, right); a component is named by its least node.
+    """(node, component) for the nodes of ``edges`` (left, right); a component is named by its least node."""
+    return members(components_table(edges).df)
+
+
+def components_table(edges: DataFrame) -> Table:
+    """The components as stars: (u, v) with v the least node of u's component, for all other nodes u of it.
 
     Alternates large-star and small-star steps until the edges are stars, which
     takes a number of rounds logarithmic in the longest path. Minima are joined
@@ -34,8 +39,13 @@ def components(edges: DataFrame) -> DataFrame:
         now, before, stamp = then, stamp, _stamp(then.df)
         if stamp == before:
             break
-    roots = now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return now
+
+
+def members(stars: DataFrame) -> DataFrame:
+    """(node, component) from stars (u, v)."""
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def _stamp(edges: DataFrame) -> tuple:

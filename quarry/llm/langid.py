@@ -94,7 +94,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     word = np.repeat(np.arange(len(starts)), sizes)
     found, owner = [], []
     code = framed
-    for n in range(2, max(_GRAMS) + 1):
+    for n in range(2, min(max(_GRAMS), len(framed)) + 1):
         code = (code[:-1] << np.uint64(8)) | framed[n - 1 :]
         inside = word[n - 1 :] == word[: len(word) - n + 1]
         found.append(tb.mix(code[inside] * np.uint64(8) + np.uint64(n)) >> np.uint64(64 - _SPACE_BITS))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .groups import components
+from .groups import components_table, members
 from .storage import Table
 
 #: Near duplicates differ in at most so many of 128 bits.
@@ -328,14 +328,17 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     ignored; empty input gives no rows.
     """
     prints, classes = _classes(docs, doc_id, text)
-    found = Table(near_links(_points(classes), radius, shard_rows), "simhash-links").df
+    links = Table(near_links(_points(classes), radius, shard_rows), "simhash-links")
+    found = links.df
     several = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     several = prints.join(several, "doc_id").join(classes, ["a", "b", "level"]).select(F.col("first").alias("left"), F.col("doc_id").alias("right"))
-    group = components(found.where("id <> root").select(F.col("root").alias("left"), F.col("id").alias("right")).unionByName(several))
+    stars = components_table(found.where("id <> root").select(F.col("root").alias("left"), F.col("id").alias("right")).unionByName(several))
+    group = members(stars.df)
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     known = classes.join(n, F.col("first") == F.col("id"), "left").drop("id").join(group, F.col("first") == F.col("node"), "left")
     known = known.select("a", "b", "level", F.coalesce("component", "first").alias("class_id"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("links")).where("links > 0 OR class_id IS NOT NULL")
-    rows = prints.join(Table(known, "simhash-known").df, ["a", "b", "level"])
+    known = Table(known, "simhash-known", after=[links, stars])
+    rows = prints.join(known.df, ["a", "b", "level"])
     return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links")).where("links > 0")
 
 

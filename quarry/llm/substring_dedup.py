@@ -93,8 +93,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where("text IS NOT NULL")
     kind = base.schema["doc_id"].dataType.simpleString()
     found = base.mapInArrow(_span_rows(sentences, words), f"doc_id {kind}, text_hash bigint, pos int, last int, b0 int, b1 int, h bigint, g int")
-    again = Table(found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g"), "span-kinds").df
-    repeats = Table(found.join(again, ["h", "g"]), "span-repeats").df
+    again = Table(found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g"), "span-kinds")
+    repeats = Table(found.join(again.df, ["h", "g"]), "span-repeats", after=[again]).df
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "pos")
     least = Table(repeats.groupBy("h", "g").agg(F.min(place).alias("least")), "span-firsts").df
     later = repeats.join(least, ["h", "g"]).where(~place.eqNullSafe(F.col("least"))).select("doc_id", "text_hash", "pos", "last", "b0", "b1").distinct()

@@ -119,7 +119,7 @@ def _position_rows(threshold: int, seed: int):
     return run
 
 
-def _ranked(pairs: DataFrame, bits: int) -> DataFrame:
+def _ranked(pairs: DataFrame, bits: int, after: list[Table]) -> DataFrame:
     """Sort the pairs (r1, r2), rank them, and keep those that aren't unique: (doc_id, version, pos, rank).
 
     What is sorted are distinct pairs with their counts, which are combined before
@@ -129,7 +129,7 @@ def _ranked(pairs: DataFrame, bits: int) -> DataFrame:
     sampling; the rank (range, number of repeated positions before the pair in the
     range) keeps the global order and the even spread.
     """
-    pairs = Table(pairs, "pairs").df
+    pairs = Table(pairs, "pairs", after).df
     counted = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("range", F.shiftright("r1", 63 - bits))
     before = F.sum("n").over(Window.partitionBy("range").orderBy("r1", "r2").rowsBetween(Window.unboundedPreceding, 0))
     ranks = counted.select("r1", "r2", (F.shiftleft(F.col("range"), 63 - bits) + before).alias("rank"))
@@ -172,9 +172,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     rows = base.select("text_hash", "text").mapInArrow(_anchor_rows(threshold), "text_hash bigint, pos int, name bigint")
     place = F.xxhash64("text_hash", "pos")
-    again = Table(rows.groupBy("name").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("name"), "anchor-names").df
-    lists = rows.join(again, "name").groupBy("text_hash").agg(F.collect_set("pos").alias("anchors"))
-    found = Table(lists.join(reps, "text_hash"), "anchors")
+    again = Table(rows.groupBy("name").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("name"), "anchor-names")
+    lists = rows.join(again.df, "name").groupBy("text_hash").agg(F.collect_set("pos").alias("anchors"))
+    found = Table(lists.join(reps, "text_hash"), "anchors", after=[again])
     n = found.df.agg(F.sum(F.size("anchors"))).first()[0] or 0
     bits = max(0, (n * (threshold - threshold // 2) // rows_per_range).bit_length())
 
@@ -185,16 +185,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     length = min(2 * seed, threshold)
     now = None
     while length < threshold:
-        then = Table(_ranked(pairs, bits), "ranks")
-        if now:
-            now.drop()
-        now = then
+        now = Table(_ranked(pairs, bits, [now] if now else [found]), "ranks")
         offset = min(length, threshold - length)
         ahead = F.first("rank").over(Window.partitionBy("doc_id", "version").orderBy("pos").rangeBetween(offset, offset))
         pairs = now.df.select("doc_id", "version", "pos", F.col("rank").alias("r1"), ahead.alias("r2")).where("r2 IS NOT NULL")
         length += offset
     # the last round: equal pairs are repeats, and the least position among them is the first
-    pairs = Table(pairs, "last-pairs").df
+    pairs = Table(pairs, "last-pairs", after=[now] if now else [found]).df
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "version", "pos")
     least = Table(pairs.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "last-firsts").df
     firsts = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "version", "pos")]

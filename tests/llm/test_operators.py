@@ -294,6 +294,12 @@ def test_language_id_odd(odd_docs, no_docs):
     assert langid.accept(no_docs).columns == no_docs.columns and langid.accept(no_docs).count() == 0
 
 
+def test_one_short_word():
+    model = langid.fit(["the cat", "der Hund"], ["en", "de"], epochs=1)
+    for text in ("a", "ab", "é", "a b"):
+        assert langid.label_texts(model, pa.array([text]))[0].shape == (len(text.split()), 2)
+
+
 def test_words_end_at_signs():
     data, starts, ends, first = langid.words_of(pa.array(["Ab\u2014cd ef\u00a0gh\u3002ij", None, "\u65e5\u672c caf\u00e9 x\U0001f600y 1a"]))
     words = [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
