@@ -83,7 +83,8 @@ Index = DataFrame | Callable[[list[bytes]], DataFrame]
 def write_index(files: DataFrame, folder: str, partitions: int | None = None) -> None:
     """Write postings as Parquet, ranged and sorted by trigram, so that a lookup reads few row groups; see :mod:`store` for publishing."""
     index = postings(files)
-    index = index.repartitionByRange(partitions, "trigram") if partitions else index.repartitionByRange("trigram")
+    keys = ("trigram", "docid")  # a trigram that most files have fills several ranges
+    index = index.repartitionByRange(partitions, *keys) if partitions else index.repartitionByRange(*keys)
     index.sortWithinPartitions("trigram", "docid").write.parquet(folder)
 
 
