@@ -98,6 +98,9 @@ class Vocabulary:
                     pairs[left << 32 | right] = rank
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.ranks = np.array([pairs[int(k)] for k in self.keys], dtype=np.int64)
+        two = self.of_byte[:, None] << 32 | self.of_byte[None, :]
+        found = np.minimum(np.searchsorted(self.keys, two), len(self.keys) - 1)
+        self.of_bytes = np.where(self.keys[found] == two, self.ranks[found], _FAR).ravel()
         filled = np.flatnonzero(lengths)
         hashes = tb.hash_spans(self.bytes, self.offsets[:-1][filled], self.offsets[1:][filled])
         order = np.argsort(hashes)
@@ -106,21 +109,20 @@ class Vocabulary:
     def merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the words data[start:end], end to end, and how many each word has.
 
-        All symbols of all words lie in one array. A round looks up every pair of
-        neighbours by binary search, takes each word's lowest rank, merges that pair
-        wherever the word has it (from the left where it overlaps itself), and sets
-        the words without a pair aside.
+        All symbols of all words lie in one array, beside the ranks of the pairs they
+        begin. A round takes each word's lowest rank, merges that pair wherever the word
+        has it (from the left where it overlaps itself), looks up by binary search the
+        pairs that are new, and sets the words without a pair aside.
         """
         sizes = ends - starts
-        symbols = self.of_byte[data[_ranges(starts, sizes)]]
+        raw = data[_ranges(starts, sizes)].astype(np.int64)
+        symbols = self.of_byte[raw]
         word = np.repeat(np.arange(len(starts)), sizes)
+        rank = np.full(len(raw), _FAR)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.of_bytes[raw[inner] << 8 | raw[inner + 1]]
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            rank = np.full(len(symbols), _FAR)
-            inner = np.flatnonzero(word[1:] == word[:-1])
-            key = symbols[inner] << 32 | symbols[inner + 1]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank[inner] = np.where(self.keys[found] == key, self.ranks[found], _FAR)
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             lengths = np.diff(np.append(first, len(word)))
             least = np.repeat(np.minimum.reduceat(rank, first), lengths)
@@ -139,13 +141,26 @@ class Vocabulary:
             symbols = np.where(merges, rank, symbols)
             keep = np.ones(len(symbols), dtype=bool)
             keep[np.flatnonzero(merges) + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            symbols, word, rank, merges = symbols[keep], word[keep], rank[keep], merges[keep]
+            merges[:-1] |= merges[1:]
+            at = np.flatnonzero(merges)
+            rank[at] = self._ranks(symbols, word, at)
         if not done:
             return np.zeros(0, dtype=np.int32), np.zeros(len(starts), dtype=np.int64)
         word, symbols = (np.concatenate([d[k] for d in done]) for k in (0, 1))
         order = np.argsort(word, kind="stable")
         return symbols[order].astype(np.int32), np.bincount(word, minlength=len(starts))
 
+    def _ranks(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at these symbols; far for those that no merge has or that end their word."""
+        out = np.full(len(at), _FAR)
+        inner = np.flatnonzero(at + 1 < len(symbols))
+        inner = inner[word[at[inner]] == word[at[inner] + 1]]
+        key = symbols[at[inner]] << 32 | symbols[at[inner] + 1]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[inner] = np.where(self.keys[found] == key, self.ranks[found], _FAR)
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts end to end, and the n + 1 offsets of the texts."""
         data, bounds = tb.flat(texts)
