@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,12 @@ MOST_SHARD_ROWS, FEW_SHARDS = 524_288, 12
 SAMPLE_ROWS = 16_384
 LEAF = 1024
 _ASKED = 256
+#: Rows that the search by words takes at a time, so that what it makes stays in the cache; groups of a long bucket likewise.
+_CHUNK = 32_768
+#: Tables of groups at most, each with a row for every word.
+_TABLES = 4
+#: Measured nanoseconds: a pair compared outright; a changed word tried; a bucket looked up; a pair in a bucket; a pair that its quarter lets through.
+_COMPARE, _TRY, _LOOK_UP, _CANDIDATE, _CHECK = 7.5, 200_000, 30, 4, 60
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = False
@@ -85,7 +92,9 @@ class VantagePointTree:
 
     A node keeps a vantage point and, for each half of its points, the interval of
     their distances to it. With q at distance d from the vantage point, the triangle
-    inequality lets a half be skipped unless its interval meets [d - r, d + r].
+    inequality lets a half be skipped unless its interval meets [d - r, d + r]. Where
+    that excludes little since the points are far from one another, :func:`_by_words` searches all of a
+    node's points at once; where they are close together, their leaves are compared outright.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
@@ -101,22 +110,26 @@ class VantagePointTree:
             near = far <= middle if (far <= middle).sum() < len(rows) else far < middle
             if 0 < near.sum() < len(rows):
                 children = [(int(far[half].min()), int(far[half].max()), self._build(rows[half], leaf)) for half in (near, ~near)]
-                self.nodes[here] = (rows[0], children)
+                self.nodes[here] = (rows, children)
                 return here
-        self.nodes[here] = rows
+        self.nodes[here] = (rows, [])
         return here
 
     def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query row, point row, distance) of all that lie within the radius, in pieces."""
         stack = [(self.root, np.arange(len(queries)))]
-        most = max((len(x) for x in self.nodes if not isinstance(x, tuple)), default=0)
+        most = max(len(rows) for rows, children in self.nodes if not children)
         xor, count = np.empty((_ASKED, most), dtype=np.uint64), np.empty((_ASKED, most), dtype=np.uint8)
         while stack:
             at, asked = stack.pop()
-            node = self.nodes[at]
-            if isinstance(node, tuple):
+            node, children = self.nodes[at]
+            if _words_pay(queries, asked, self.points, node, radius):
+                for q, p, d in _by_words(queries[asked], self.points[node], radius):
+                    yield asked[q], node[p], d
+                continue
+            if children:
                 d = distances(queries[asked], self.points[node[0]])
-                for low, high, child in node[1]:
+                for low, high, child in children:
                     go = asked[(d - radius <= high) & (d + radius >= low)]
                     if len(go):
                         stack.append((child, go))
@@ -138,6 +151,155 @@ def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.bitwise_count(points ^ to).sum(axis=-1, dtype=np.int32)
 
 
+@lru_cache(maxsize=8)
+def _word_limits(radius: int) -> list[tuple[int, int, int]]:
+    """(word, its limit, its quarter's limit): any two fingerprints within the radius have a 16-bit word in which both hold.
+
+    Distances of the four quarters add up to that of the whole, so not all of them can exceed
+    limits that add up to the radius less 3; and likewise with the two words of a quarter.
+    """
+    limits = []
+    for quarter in range(4):
+        most = (radius - 3 + quarter) // 4
+        limits += [(2 * quarter + half, (most - 1 + half) // 2, most) for half in (0, 1)]
+    return [x for x in limits if x[1] >= 0]
+
+
+@lru_cache(maxsize=17)
+def _masks(most: int) -> np.ndarray:
+    """The 16-bit words of at most so many bits."""
+    return np.flatnonzero(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) <= most)
+
+
+def _word_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the eight words, and of the quarter that each is in."""
+    words = np.bitwise_count((a ^ b).view(np.uint16))
+    quarters = words[..., 0::2] + words[..., 1::2]
+    return words, np.repeat(quarters, 2, axis=-1)
+
+
+def _words_pay(queries: np.ndarray, asked: np.ndarray, points: np.ndarray, rows: np.ndarray, radius: int) -> bool:
+    """Whether a search by words is cheaper than to compare all pairs, going by a sample of them; both find the same."""
+    limits = _word_limits(radius)
+    looks = sum(len(_masks(most)) for _, most, _ in limits)
+    tries = looks * (_TRY / max(1, len(asked)) + _LOOK_UP) / max(1, len(rows))
+    if tries >= _COMPARE:
+        return False
+    some, of = asked[:: -(-len(asked) // 64)], rows[:: -(-len(rows) // 2048)]
+    words, quarters = _word_distances(queries[some][:, None], points[of])
+    pairs = len(some) * len(of)
+    alike = [(words[..., w] <= most, quarters[..., w] <= quarter) for w, most, quarter in limits]
+    candidates = sum(a.sum() for a, _ in alike) / pairs
+    checks = sum((a & b).sum() for a, b in alike) / pairs
+    return tries + candidates * _CANDIDATE + checks * _CHECK < _COMPARE
+
+
+class _Buckets:
+    """Points by one of their words, four to a group, with the other word of its quarter; a bucket's first groups lie in tables by the word."""
+
+    def __init__(self, points: np.ndarray, word: int, asked: np.ndarray):
+        words = points.view(np.uint16)
+        key = words[:, word]
+        order = np.argsort(key, kind="stable")
+        size = np.bincount(key, minlength=1 << 16)
+        groups = -(-size // 4)
+        self.tables = 1
+        while self.tables < _TABLES and (groups[asked] > self.tables).mean() > 0.5:
+            self.tables += 1
+        self.more = np.maximum(groups - self.tables, 0)
+        self.any_more = self.more > 0
+        self.first = (self.tables << 16) + np.cumsum(self.more) - self.more
+        at = key[order].astype(np.int64)
+        place = np.arange(len(order)) - (np.cumsum(size) - size)[at]
+        layer = place >> 2
+        slot = (np.where(layer < self.tables, (layer << 16) + at, self.first[at] + layer - self.tables) << 2) + (place & 3)
+        n = 4 * ((self.tables << 16) + int(self.more.sum()))
+        self.rows, self.far, mates = np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint16)
+        self.rows[slot], self.far[slot], mates[slot] = order, points[order, 1 - word // 4], words[order, word ^ 1]
+        self.mates = mates.view(np.uint64)
+
+
+_FOUR, _EVEN, _TOP = (np.uint64(x * 0x0001000100010001) for x in (1, 0xFF, 0x80))
+
+
+def _by_words(queries: np.ndarray, points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, point row, distance) of all that lie within the radius, in pieces, each pair once.
+
+    For every word and each way to change up to its limit of bits, a query meets the
+    bucket of the points with the changed word, four of them at a time; those whose quarter
+    keeps its limit too are compared whole. A pair is given at the first word that finds it.
+    """
+    limits = _word_limits(radius)
+    for word, most, quarter in limits:
+        asked = queries.view(np.uint16)[:, word]
+        buckets = _Buckets(points, word, asked)
+        for start in range(0, len(queries), _CHUNK):
+            some = queries[start : start + _CHUNK]
+            own, mates = some.view(np.uint16)[:, word].astype(np.int64), some.view(np.uint16)[:, word ^ 1] * _FOUR
+            far, row = np.ascontiguousarray(some[:, 1 - word // 4]), np.arange(len(some))
+            pairs, held = [], 0
+            for mask in _masks(most):
+                left, at = quarter - int(mask).bit_count(), own ^ mask
+                for group, of in _groups(buckets, at, row):
+                    pairs.append(_alike(buckets, group, mates if of is row else mates.take(of), of, far, left, radius))
+                    held += len(pairs[-1][0])
+                    if held > _CHUNK:
+                        yield from _whole(queries, points, start, pairs, word, radius)
+                        pairs, held = [], 0
+            yield from _whole(queries, points, start, pairs, word, radius)
+
+
+def _groups(buckets: _Buckets, at: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(group, row) of the buckets that the rows look up, in pieces."""
+    for layer in range(buckets.tables):
+        yield at + (layer << 16), row
+    long = np.flatnonzero(buckets.any_more.take(at, mode="clip"))
+    key = at.take(long)
+    more = buckets.more.take(key)
+    ends = np.cumsum(more)
+    first, i = buckets.first.take(key) - ends + more, 0
+    while i < len(long):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + _CHUNK, side="right")))
+        yield np.repeat(first[i:j], more[i:j]) + np.arange(before, ends[j - 1]), np.repeat(long[i:j], more[i:j])
+        i = j
+
+
+def _whole(queries: np.ndarray, points: np.ndarray, start: int, pairs: list[tuple[np.ndarray, np.ndarray]], word: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of pairs found by a word, with their distance, those within the radius that no earlier word finds."""
+    if not pairs:
+        return
+    q, p = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    q += start
+    words, quarters = _word_distances(queries[q], points[p])
+    d = words.sum(axis=1, dtype=np.int32)
+    hit = d <= radius
+    for w, most, quarter in _word_limits(radius):
+        if w < word:
+            hit &= (words[:, w] > most) | (quarters[:, w] > quarter)
+    if hit.any():
+        yield q[hit], p[hit], d[hit]
+
+
+def _alike(buckets: _Buckets, group: np.ndarray, mates: np.ndarray, row: np.ndarray, far: np.ndarray, left: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, point) of those in a group whose other word is at most ``left`` bits from the row's, and whose far half at most the radius."""
+    x = buckets.mates.take(group, mode="clip")
+    x ^= mates
+    np.bitwise_count(x.view(np.uint8), out=x.view(np.uint8))
+    x += x >> np.uint64(8)
+    x &= _EVEN
+    np.subtract(_TOP + np.uint64(left) * _FOUR, x, out=x)
+    x &= _TOP
+    some = np.flatnonzero(x != 0)
+    lane = np.flatnonzero(x.take(some).view(np.uint16) != 0)
+    some = some.take(lane >> 2)
+    slot, q = (group.take(some) << 2) + (lane & 3), row.take(some)
+    hit = np.flatnonzero(np.bitwise_count(far.take(q) ^ buckets.far.take(slot)) <= radius)
+    q, p = q.take(hit), buckets.rows.take(slot.take(hit))
+    real = p >= 0
+    return q[real], p[real]
+
+
 class ShardTree:
     """A vantage-point tree over shards: which one a fingerprint lies in, and which others may hold one within the radius of it.
 
