@@ -1,7 +1,9 @@
 """The search of operator 10 among fingerprints far from one another, where the triangle bound excludes next to nothing."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from fixtures import prose
 
 from quarry.llm import simhash
 
@@ -85,3 +87,43 @@ def test_search_is_chosen_by_what_it_costs():
     same[:, 0] = same[0, 0]
     assert not simhash._words_pay(same, rows, same, rows, 24)
     assert not simhash._words_pay(points, rows, points, rows, 60)
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_tasks_of_the_near_duplicates_stage(monkeypatch, alone):
+    r = np.random.default_rng(14)
+    n = 40_000
+    points = spread(r, n)
+    points[n // 2 : n // 2 + 200] = changed(r, points[:200], 26)
+    side = np.arange(n) >= n // 2
+    a, b = points.view(np.int64).T
+    table = pa.table({"id": np.arange(n), "a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b), "side": side & (not alone), "alone": np.full(n, alone)})
+    counted = Counted()
+    monkeypatch.setattr(simhash, "np", counted)
+    got = [x for q, p, d in simhash._hits(table, 24) for x in zip(np.minimum(q, p).tolist(), np.maximum(q, p).tolist(), d.tolist(), strict=True)]
+    monkeypatch.undo()
+    assert counted.bytes < 0.2 * 8 * (n * n if alone else n * n // 4)
+    near = simhash.distances(points[:200], points[n // 2 : n // 2 + 200])
+    assert sorted(got) == [(i, n // 2 + i, int(near[i])) for i in range(200) if near[i] <= 24]
+
+
+def test_stage_over_far_texts_keeps_what_a_loop_keeps(spark):
+    r = np.random.default_rng(15)
+    words = [prose(f"w{i}", 30) for i in range(40)]
+    texts = [" ".join(f"t{x:x}" for x in r.integers(0, 1 << 40, 12)) for _ in range(11_800)]
+    texts += [t + " end" for t in texts[:100]] + words + words[:20]
+    prints = np.concatenate([simhash.fingerprint(pa.array(texts[i : i + 8000]))[0] for i in range(0, len(texts), 8000)])  # a block has 8192 rows at most
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero(simhash.distances(prints[:i], prints[i]) <= simhash.RADIUS):
+            x, y = sorted((top(i), top(int(j))))
+            group[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id for x in simhash.near_dedup(docs, shard_rows=20_000).select("doc_id").collect()}
+    assert got == {i for i in range(len(texts)) if top(i) == i} and len(got) < len(texts) - 60
