@@ -17,19 +17,21 @@ from .storage import Table
 
 #: Near duplicates differ in at most so many of 128 bits.
 RADIUS = 24
-#: Fingerprints in a shard, at least; a task compares two shards.
+#: Fingerprints in a shard, at least; a task compares a shard with others.
 SHARD_ROWS = 8192
-#: Shards grow with the table, up to so many fingerprints, while there are this many of them or fewer: each goes to all others.
+#: Shards grow with the table, up to so many fingerprints, while there are this many of them or fewer: each goes to half of the others.
 MOST_SHARD_ROWS, FEW_SHARDS = 524_288, 12
+#: Fingerprints that a shard is compared with in one task, about; the more there are, the less a pair costs.
+MOST_POINTS = 1_000_000
 #: The tree of shards is laid out by so many fingerprints, those with the least hashes; every fingerprint is placed by it.
 SAMPLE_ROWS = 16_384
 LEAF = 1024
 _ASKED = 256
-#: Rows that the search by words takes at a time, so that what it makes stays in the cache; groups of a long bucket likewise.
+#: Queries that the search by words takes at a time where a row of a bucket holds 8 points (fewer where it holds more), so that what it makes stays in the cache.
 _CHUNK = 32_768
-#: Tables of groups at most, each with a row for every word.
-_TABLES = 4
-#: Measured nanoseconds: a pair compared outright; a changed word tried; a bucket looked up; a pair in a bucket; a pair that its quarter lets through.
+#: Points in a row of their buckets, at most, and the share of buckets that may be longer than a row.
+_WIDEST, _LONG = 64, 0.3
+#: Nanoseconds, measured with buckets in groups of four and not again since: a pair compared outright; a changed word tried; a bucket looked up; a pair in a bucket; a pair that its quarter lets through.
 _COMPARE, _TRY, _LOOK_UP, _CANDIDATE, _CHECK = 7.5, 200_000, 30, 4, 60
 
 _APART = np.ones(256, dtype=bool)
@@ -195,109 +197,121 @@ def _words_pay(queries: np.ndarray, asked: np.ndarray, points: np.ndarray, rows:
 
 
 class _Buckets:
-    """Points by one of their words, four to a group, with the other word of its quarter; a bucket's first groups lie in tables by the word."""
+    """Points by one of their words, as rows of the other words of their quarters; a bucket's first row lies at its word, any further ones beyond the last word."""
 
     def __init__(self, points: np.ndarray, word: int, asked: np.ndarray):
         words = points.view(np.uint16)
         key = words[:, word]
         order = np.argsort(key, kind="stable")
         size = np.bincount(key, minlength=1 << 16)
-        groups = -(-size // 4)
-        self.tables = 1
-        while self.tables < _TABLES and (groups[asked] > self.tables).mean() > 0.5:
-            self.tables += 1
-        self.more = np.maximum(groups - self.tables, 0)
+        self.width = 4
+        while self.width < _WIDEST and (size[asked] > self.width).mean() > _LONG:
+            self.width *= 2
+        self.more = np.maximum(-(-size // self.width) - 1, 0)
         self.any_more = self.more > 0
-        self.first = (self.tables << 16) + np.cumsum(self.more) - self.more
+        self.first = (1 << 16) + np.cumsum(self.more) - self.more
         at = key[order].astype(np.int64)
-        place = np.arange(len(order)) - (np.cumsum(size) - size)[at]
-        layer = place >> 2
-        slot = (np.where(layer < self.tables, (layer << 16) + at, self.first[at] + layer - self.tables) << 2) + (place & 3)
-        n = 4 * ((self.tables << 16) + int(self.more.sum()))
-        self.rows, self.far, mates = np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint16)
-        self.rows[slot], self.far[slot], mates[slot] = order, points[order, 1 - word // 4], words[order, word ^ 1]
-        self.mates = mates.view(np.uint64)
+        layer, place = np.divmod(np.arange(len(order)) - (np.cumsum(size) - size)[at], self.width)
+        slot = np.where(layer == 0, at, self.first[at] + layer - 1) * self.width + place
+        n = self.width * ((1 << 16) + int(self.more.sum()))
+        self.rows, mates = np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.uint16)
+        self.rows[slot], mates[slot] = order, words[order, word ^ 1]
+        self.mates = mates.view(np.uint64).reshape(-1, self.width // 4)
+        self.far = np.ascontiguousarray(points[:, 1 - word // 4])
 
 
-_FOUR, _EVEN, _TOP = (np.uint64(x * 0x0001000100010001) for x in (1, 0xFF, 0x80))
+_FOUR = np.uint64(0x0001000100010001)
 
 
 def _by_words(queries: np.ndarray, points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query row, point row, distance) of all that lie within the radius, in pieces, each pair once.
 
     For every word and each way to change up to its limit of bits, a query meets the
-    bucket of the points with the changed word, four of them at a time; those whose quarter
+    bucket of the points with the changed word, a row of it at a time; those whose quarter
     keeps its limit too are compared whole. A pair is given at the first word that finds it.
+    Queries go in the order of the word, so that those of a chunk meet the same few buckets.
     """
-    limits = _word_limits(radius)
-    for word, most, quarter in limits:
+    if not len(queries) or not len(points):
+        return
+    for word, most, quarter in _word_limits(radius):
         asked = queries.view(np.uint16)[:, word]
         buckets = _Buckets(points, word, asked)
-        for start in range(0, len(queries), _CHUNK):
-            some = queries[start : start + _CHUNK]
+        step = max(1, 8 * _CHUNK // buckets.width)
+        room = np.empty((min(step, len(queries)), buckets.width // 4), dtype=np.uint64)
+        near = np.empty((len(room), buckets.width), dtype=bool)
+        order = np.argsort(asked, kind="stable")
+        for start in range(0, len(queries), step):
+            turn = order[start : start + step]
+            some = queries.take(turn, axis=0)
             own, mates = some.view(np.uint16)[:, word].astype(np.int64), some.view(np.uint16)[:, word ^ 1] * _FOUR
-            far, row = np.ascontiguousarray(some[:, 1 - word // 4]), np.arange(len(some))
+            mates = np.repeat(mates[:, None], room.shape[1], axis=1)
+            far = np.ascontiguousarray(some[:, 1 - word // 4])
             pairs, held = [], 0
             for mask in _masks(most):
-                left, at = quarter - int(mask).bit_count(), own ^ mask
-                for group, of in _groups(buckets, at, row):
-                    pairs.append(_alike(buckets, group, mates if of is row else mates.take(of), of, far, left, radius))
+                left = quarter - int(mask).bit_count()
+                for group, of in _groups(buckets, own ^ mask, len(room)):
+                    pairs.append(_alike(buckets, group, mates if of is None else mates.take(of, axis=0), of, far, left, radius, room[: len(group)], near[: len(group)]))
                     held += len(pairs[-1][0])
                     if held > _CHUNK:
-                        yield from _whole(queries, points, start, pairs, word, radius)
+                        yield from _whole(queries, turn, points, pairs, word, radius)
                         pairs, held = [], 0
-            yield from _whole(queries, points, start, pairs, word, radius)
+            yield from _whole(queries, turn, points, pairs, word, radius)
 
 
-def _groups(buckets: _Buckets, at: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(group, row) of the buckets that the rows look up, in pieces."""
-    for layer in range(buckets.tables):
-        yield at + (layer << 16), row
+def _groups(buckets: _Buckets, at: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(row of the buckets, number of the query or None for all in turn) of what the queries look up, at most so many in a piece."""
+    yield at, None
     long = np.flatnonzero(buckets.any_more.take(at, mode="clip"))
     key = at.take(long)
     more = buckets.more.take(key)
     ends = np.cumsum(more)
-    first, i = buckets.first.take(key) - ends + more, 0
-    while i < len(long):
-        before = int(ends[i - 1]) if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, before + _CHUNK, side="right")))
-        yield np.repeat(first[i:j], more[i:j]) + np.arange(before, ends[j - 1]), np.repeat(long[i:j], more[i:j])
-        i = j
+    first, total = buckets.first.take(key) - ends + more, int(ends[-1]) if len(ends) else 0
+    for i in range(0, total, most):
+        row = np.arange(i, min(i + most, total))
+        of = np.searchsorted(ends, row, side="right")
+        yield first.take(of) + row, long.take(of)
 
 
-def _whole(queries: np.ndarray, points: np.ndarray, start: int, pairs: list[tuple[np.ndarray, np.ndarray]], word: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _whole(queries: np.ndarray, turn: np.ndarray, points: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], word: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of pairs found by a word, with their distance, those within the radius that no earlier word finds."""
     if not pairs:
         return
     q, p = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    q += start
-    words, quarters = _word_distances(queries[q], points[p])
-    d = words.sum(axis=1, dtype=np.int32)
-    hit = d <= radius
-    for w, most, quarter in _word_limits(radius):
-        if w < word:
-            hit &= (words[:, w] > most) | (quarters[:, w] > quarter)
-    if hit.any():
-        yield q[hit], p[hit], d[hit]
-
-
-def _alike(buckets: _Buckets, group: np.ndarray, mates: np.ndarray, row: np.ndarray, far: np.ndarray, left: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, point) of those in a group whose other word is at most ``left`` bits from the row's, and whose far half at most the radius."""
-    x = buckets.mates.take(group, mode="clip")
+    q = turn.take(q)
+    bits = queries.take(q, axis=0)
+    bits ^= points.take(p, axis=0)
+    d = np.bitwise_count(bits[:, 0]) + np.bitwise_count(bits[:, 1])
+    hit = np.flatnonzero(d <= radius)
+    if word and len(hit):
+        words = np.bitwise_count(bits.take(hit, axis=0).view(np.uint8).reshape(len(hit), 8, 2))
+        words = words[..., 0] + words[..., 1]
+        again = np.zeros(len(hit), dtype=bool)
+        for w, most, quarter in _word_limits(radius):
+            if w < word:
+                again |= (words[:, w] <= most) & (words[:, w] + words[:, w ^ 1] <= quarter)
+        hit = hit[~again]
+    if len(hit):
+        yield q.take(hit), p.take(hit), d.take(hit).astype(np.int32)
+
+
+def _alike(buckets: _Buckets, group: np.ndarray, mates: np.ndarray, of: np.ndarray | None, far: np.ndarray, left: int, radius: int, room: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) of those in the rows of the buckets whose other word is at most ``left`` bits from the query's, and whose far half at most the radius."""
+    x = buckets.mates.take(group, axis=0, mode="clip", out=room)
     x ^= mates
     np.bitwise_count(x.view(np.uint8), out=x.view(np.uint8))
-    x += x >> np.uint64(8)
-    x &= _EVEN
-    np.subtract(_TOP + np.uint64(left) * _FOUR, x, out=x)
-    x &= _TOP
-    some = np.flatnonzero(x != 0)
-    lane = np.flatnonzero(x.take(some).view(np.uint16) != 0)
-    some = some.take(lane >> 2)
-    slot, q = (group.take(some) << 2) + (lane & 3), row.take(some)
-    hit = np.flatnonzero(np.bitwise_count(far.take(q) ^ buckets.far.take(slot)) <= radius)
-    q, p = q.take(hit), buckets.rows.take(slot.take(hit))
-    real = p >= 0
-    return q[real], p[real]
+    both = x.view(np.uint16)
+    both *= np.uint16(257)  # the high byte is now the sum of the two
+    near = np.less(both, np.uint16((left + 1) << 8), out=near).reshape(-1)
+    lanes = 8 if buckets.width > 4 else 4
+    some = np.flatnonzero(near.view(np.uint64 if lanes == 8 else np.uint32) != 0)
+    lane = np.flatnonzero(near.reshape(-1, lanes).take(some, axis=0))
+    lane = some.take(lane // lanes) * lanes + lane % lanes
+    q, place = lane // buckets.width, lane % buckets.width
+    p = buckets.rows.take(group.take(q) * buckets.width + place)
+    if of is not None:
+        q = of.take(q)
+    hit = np.flatnonzero((np.bitwise_count(far.take(q) ^ buckets.far.take(p, mode="clip")) <= radius) & (p >= 0))
+    return q.take(hit), p.take(hit)
 
 
 class ShardTree:
@@ -366,12 +380,22 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def _asked(points: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """(pair, alone, side, id, a, b, w): each fingerprint in its own shard's group and in that of each pair of shards that the bounds leave it."""
+    """(pair, alone, side, id, a, b, w): groups in which every two fingerprints meet that the bounds of their shards don't keep apart, once.
+
+    Shards lie on a circle. A shard asks itself and the half of the circle that follows it,
+    all at once or in as few blocks as :data:`MOST_POINTS` allows; a group is a shard and such
+    a block. In the first one, ``alone``, the rows without ``side`` ask all rows, themselves
+    among them; in others those with ``side`` ask the rest.
+    """
     n = points.count()
     shard_rows = max(shard_rows, min(n // FEW_SHARDS, MOST_SHARD_ROWS))
     chosen = points.select("a", "b").orderBy(F.xxhash64("a", "b")).limit(SAMPLE_ROWS).toArrow() if n > shard_rows else None
     sample = _matrix(chosen) if chosen is not None else np.zeros((0, 2), dtype=np.uint64)
-    tree = points.sparkSession.sparkContext.broadcast(ShardTree(sample, n, shard_rows))
+    layout = ShardTree(sample, n, shard_rows)
+    ahead = layout.shards // 2 + 1
+    blocks = -(-ahead // max(1, MOST_POINTS * layout.shards // max(1, n)))
+    width = -(-ahead // blocks)
+    tree = points.sparkSession.sparkContext.broadcast(layout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = tree.value.shards
@@ -379,9 +403,18 @@ def _asked(points: DataFrame, radius: int, shard_rows: int) -> DataFrame:
             own, reach = tree.value.place(_matrix(batch), radius)
             reach[np.arange(len(own)), own] = True
             row, other = np.nonzero(reach)
-            low, high = np.minimum(own[row], other), np.maximum(own[row], other)
-            taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(low * shards + high), pa.array(low == high), pa.array(own[row] > other), *[batch.column(c).take(taken) for c in ("id", "a", "b", "w")]], ["pair", "alone", "side", "id", "a", "b", "w"])
+            steps = (own[row] - other) % shards
+            sent = (2 * steps < shards) | ((2 * steps == shards) & (other < own[row]))
+            meets = (other - own[row]) % shards
+            asks = (meets >= width) & ((2 * meets < shards) | ((2 * meets == shards) & (own[row] < other)))
+            asking = np.unique(row[asks] * blocks + meets[asks] // width)
+            asker, block = np.divmod(asking, blocks)
+            row, other, steps = row[sent], other[sent], steps[sent]
+            group = np.concatenate([other * blocks + steps // width, own[asker] * blocks + block])
+            first = np.concatenate([steps < width, np.zeros(len(asker), dtype=bool)])
+            side = np.concatenate([(steps > 0) & (steps < width), np.ones(len(asker), dtype=bool)])
+            taken = pa.array(np.concatenate([row, asker]))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(first), pa.array(side), *[batch.column(c).take(taken) for c in ("id", "a", "b", "w")]], ["pair", "alone", "side", "id", "a", "b", "w"])
 
     return points.select("id", "a", "b", "w").mapInArrow(run, "pair bigint, alone boolean, side boolean, id bigint, a bigint, b bigint, w bigint")
 
@@ -391,23 +424,26 @@ def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 
 def _hits(table: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, row, distance) of the pairs within the radius, in pieces: those between the two sides of a group, or those of its only side."""
+    """(row, row, distance) of the pairs within the radius, in pieces: those between the two sides of a group, or, in one that is alone, those of one side and between it and the other."""
     side, prints = table.column("side").to_numpy(), _matrix(table)
     alone = table.column("alone")[0].as_py()
-    asked, within = (np.arange(len(side)),) * 2 if alone else (np.flatnonzero(side), np.flatnonzero(~side))
+    asked, within = (np.flatnonzero(~side), np.arange(len(side))) if alone else (np.flatnonzero(side), np.flatnonzero(~side))
     if not len(asked) or not len(within):
         return
     for q, p, d in VantagePointTree(prints[within]).within(prints[asked], radius):
         q, p = asked[q], within[p]
-        yield (q[q < p], p[q < p], d[q < p]) if alone else (q, p, d)
+        if alone:
+            once = side[p] | (q < p)
+            q, p, d = q[once], p[once], d[once]
+        yield q, p, d
 
 
 def near_fingerprints(points: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """All pairs (left, right, distance) of the distinct fingerprints ``points`` (id, a, b) within the radius.
 
-    A tree of vantage points cuts the fingerprints into shards; a pair of shards is a
-    group, to which each of the two sends what lies near enough to the other's bounds.
-    A task builds a vantage-point tree of the one and asks it for the other.
+    A tree of vantage points cuts the fingerprints into shards; a shard and some others are a
+    group, to which each sends what lies near enough to the bounds of those that it meets there.
+    A task builds a vantage-point tree of the others and asks it for the one.
     """
 
     def search(table: pa.Table) -> pa.Table:

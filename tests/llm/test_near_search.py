@@ -127,3 +127,34 @@ def test_stage_over_far_texts_keeps_what_a_loop_keeps(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {x.doc_id for x in simhash.near_dedup(docs, shard_rows=20_000).select("doc_id").collect()}
     assert got == {i for i in range(len(texts)) if top(i) == i} and len(got) < len(texts) - 60
+
+
+@pytest.mark.parametrize("most", [100, 700, 1_000_000])
+@pytest.mark.parametrize("shard_rows", [150, 250, 5000])
+def test_each_two_shards_of_the_near_duplicates_stage_meet_once(spark, monkeypatch, most, shard_rows):
+    monkeypatch.setattr(simhash, "MOST_POINTS", most, raising=False)
+    r = np.random.default_rng(16)
+    points = spread(r, 2000)
+    points[1000:1400] = changed(r, points[:400], 26)
+    n = len(points)
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(points.view(np.int64).tolist())], "id bigint, a bigint, b bigint")
+    sent = simhash._asked(table.selectExpr("*", "1L AS w"), 24, shard_rows).toArrow()
+    if most == 1_000_000 and shard_rows < n:
+        own = sent.filter(sent["alone"]).num_rows
+        shards = len(set(sent["pair"].to_pylist()))
+        assert shards > 7 and own == sent.num_rows <= n * (shards // 2 + 1)
+    meetings = np.zeros((n, n), dtype=np.uint8)
+    for pair in set(sent["pair"].to_pylist()):
+        rows = [x for x in zip(sent["pair"].to_pylist(), sent["id"].to_pylist(), sent["side"].to_pylist(), sent["alone"].to_pylist(), strict=True) if x[0] == pair]
+        ids, side, alone = np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), rows[0][3]
+        assert {x[3] for x in rows} == {alone}
+        if alone:
+            own = ids[~side]
+            meetings[np.ix_(own, own)] += 1 - np.eye(len(own), dtype=np.uint8)
+        meetings[np.ix_(ids[side], ids[~side])] += 1
+        meetings[np.ix_(ids[~side], ids[side])] += 1
+    near = np.bitwise_count(points[:, None] ^ points).sum(axis=-1) <= 24
+    np.fill_diagonal(near, False)
+    assert (meetings[near] == 1).all() and meetings.max() == 1
+    got = sorted((x.left, x.right, x.distance) for x in simhash.near_fingerprints(table, 24, shard_rows).collect())
+    assert got == [x for x in brute(points, points, 24) if x[0] < x[1]] and len(got) > 300
