@@ -44,15 +44,15 @@ def line_match(query: str, line: Column) -> Column:
 def rank_files(files: DataFrame, popularity: DataFrame | None, search: Search) -> DataFrame:
     """The columns of ``files`` and ``pathrank``; packages without popularity count 0.
 
-    ``popularity`` has (package, inst, rdep), a row a package. Its size decides,
-    through the session's threshold, whether it is broadcast.
+    ``popularity`` has (package, inst, rdep), a row a package: some ten thousand short rows. It is
+    broadcast, as a shuffle would bring all hits of a large package, with their lines, to one task.
     """
     package = package_of(F.col("path"))
     if popularity is None:
         rows, inst, rdep = files, F.lit(0.0), F.lit(0.0)
     else:
         known = popularity.select(F.col("package").alias("__package"), "inst", "rdep")
-        rows = files.join(known, package == F.col("__package"), "left")
+        rows = files.join(F.broadcast(known), package == F.col("__package"), "left")
         inst, rdep = F.coalesce("inst", F.lit(0.0)), F.coalesce("rdep", F.lit(0.0))
     rank = 1 + suffix_weight(search, F.col("path")) + INSTALLED * inst + DEPENDED * rdep
     rank = rank + PATH * name_match(search.query, F.col("path")) + PACKAGE * name_match(search.query, package)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..functions.versions import sort_key
 from .ranking import total_order
 
 PAGE, PACKAGES, PER_PACKAGE, SHOWN = 10, 5, 2, 100
+#: Results up to which a page is merged from the best of each task; a later one is located by counts first.
+SHALLOW = 100
 _COLUMNS = ("path", "line", "ctxp2", "ctxp1", "context", "ctxn1", "ctxn2", "rank")
 
 
@@ -17,21 +22,69 @@ def top(ranked: DataFrame, n: int = PAGE) -> DataFrame:
     return ranked.orderBy(*total_order()).limit(n)
 
 
-def page(ranked: DataFrame, number: int, size: int = PAGE) -> DataFrame:
-    """Page ``number``, from 0; the one after the last is empty."""
-    return ranked.orderBy(*total_order()).offset(number * size).limit(size)
+def _place() -> tuple[Column, Column]:
+    """The first terms of the total order, both descending: the rank and three digits of the path's hash, nulls the least."""
+    return F.coalesce("rank", F.lit(float("-inf"))).alias("rank"), F.coalesce(F.substring(F.md5("path"), 1, 3), F.lit("")).alias("hash")
+
+
+@contextmanager
+def places(ranked: DataFrame) -> Iterator[DataFrame]:
+    """(rank, hash, n): how many results lie at each place of the order, kept while pages are located by them; the search runs once for them."""
+    counts = ranked.groupBy(*_place()).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        yield counts
+    finally:
+        counts.unpersist()
+
+
+def pages(counts: DataFrame, size: int = PAGE) -> int:
+    return -(-(counts.agg(F.sum("n")).first()[0] or 0) // size)
+
+
+def _holding(counts: DataFrame, keys: list[str], first: int, size: int):
+    """(low, high, before): the least and the greatest ``keys`` that hold the results from ``first`` on, and how many results precede them."""
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    through = F.sum("n").over(Window.partitionBy().orderBy(*map(F.desc, keys)).rowsBetween(Window.unboundedPreceding, 0))
+    held = sums.withColumn("before", through - F.col("n")).where((F.col("before") + F.col("n") > first) & (F.col("before") < first + size))
+    return held.agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"), F.min("before").alias("before")).first()
+
+
+def page(ranked: DataFrame, number: int, size: int = PAGE, counts: DataFrame | None = None) -> DataFrame:
+    """Page ``number``, from 0; the one after the last is empty.
+
+    To skip many results in one task, it would have to read them all. So a late page is located
+    first, by ``counts`` of :func:`places`: by rank, then among the ranks that hold it by hash.
+    Only what shares these with it is sorted.
+    """
+    first = number * size
+    if first + size <= SHALLOW:
+        return ranked.orderBy(*total_order()).offset(first).limit(size)
+    if counts is None:
+        with places(ranked) as counts:
+            return page(ranked, number, size, counts)
+    by_rank = _holding(counts, ["rank"], first, size)
+    if by_rank.low is None:
+        return ranked.where(F.lit(False))
+    near = counts.where(F.col("rank").between(by_rank.low.rank, by_rank.high.rank))
+    held = _holding(near, ["rank", "hash"], first - by_rank.before, size)
+    bound = lambda x: F.struct(F.lit(x.rank).alias("rank"), F.lit(x.hash).alias("hash"))
+    kept = ranked.where(F.struct(*_place()).between(bound(held.low), bound(held.high)))
+    return kept.orderBy(*total_order()).offset(first - by_rank.before - held.before).limit(size)
 
 
 class NoSuchPage(LookupError):
     """A page beyond the one after the last."""
 
 
-def checked_page(ranked: DataFrame, number: int, size: int = PAGE) -> DataFrame:
+def checked_page(ranked: DataFrame, number: int, size: int = PAGE, counts: DataFrame | None = None) -> DataFrame:
     """Page ``number`` as :func:`page` gives it; NoSuchPage for a negative one and for one beyond the empty page after the last."""
-    pages = -(-ranked.count() // size)
-    if not 0 <= number <= pages:
-        raise NoSuchPage(f"page {number} of {pages}")
-    return page(ranked, number, size)
+    if counts is None:
+        with places(ranked) as counts:
+            return checked_page(ranked, number, size, counts)
+    last = pages(counts, size)
+    if not 0 <= number <= last:
+        raise NoSuchPage(f"page {number} of {last}")
+    return page(ranked, number, size, counts)
 
 
 def shown_packages(ranked: DataFrame, limit: int = SHOWN) -> DataFrame:

@@ -340,14 +340,16 @@ def page_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last page; the one after it is empty, and those beyond raise."""
     ranked = _search(spark, sf_dir)
-    last = (ranked.count() - 1) // results.PAGE
-    for number in (-1, last + 2):
-        try:
-            results.checked_page(ranked, number)
-        except results.NoSuchPage:
-            continue
-        raise AssertionError(f"there is a page {number}")
-    return results.checked_page(ranked, last).unionByName(results.checked_page(ranked, last + 1))
+    with results.places(ranked) as counts:
+        end = results.pages(counts)
+        for number in (-1, end + 1):
+            try:
+                results.checked_page(ranked, number, counts=counts)
+            except results.NoSuchPage:
+                continue
+            raise AssertionError(f"there is a page {number}")
+        empty = results.checked_page(ranked, end, counts=counts)
+        return results.checked_page(ranked, end - 1, counts=counts).unionByName(empty) if end else empty
 
 
 @query(f"WITH {_HITS} SELECT path, line::INT AS line, {_shown('context')} AS context, {_shown_list('ctxp2', 'ctxp1')} AS before, {_shown_list('ctxn1', 'ctxn2')} AS after FROM ranked")

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,34 @@ def test_pages_and_groups(spark, files):
     assert results.top(ranked).count() == 6
 
 
+def test_late_pages(spark):
+    """A late page is what a sort of all gives, whatever ties; its plan sorts only what shares its place."""
+    rows = [(f"p_{i % 7}/f{i // 3}" if i % 50 else None, i % 3, "c", None if i % 97 == 0 else float(i % 4 if i < 400 else i % 90)) for i in range(1000)]
+    ranked = spark.createDataFrame(rows, "path string, line int, context string, rank double").repartition(4).cache()
+    want = [tuple(r) for r in ranked.orderBy(*ranking.total_order()).collect()]
+    for size, numbers in ((10, (0, 9, 10, 11, 37, 98, 99, 100)), (333, (0, 1, 3)), (7, (142, 143))):
+        for number in numbers:
+            assert [tuple(r) for r in results.page(ranked, number, size).collect()] == want[number * size : number * size + size]
+    with results.places(ranked) as counts:
+        assert results.pages(counts) == 100 and results.page(ranked, 500, counts=counts).count() == 0
+        plan = results.page(ranked, 99, counts=counts)._jdf.queryExecution().optimizedPlan().toString()
+        skipped = [int(n) for n in re.findall(r"Offset (\d+)", plan)]
+        assert all(n < 50 for n in skipped) and "rank" in plan.split("Filter")[1]
+    none = ranked.where("line > 5")
+    assert results.checked_page(none, 0).count() == 0
+
+
+def test_hits_are_not_gathered_by_package(spark, files):
+    popular = spark.range(3).select(F.concat(F.lit("p"), "id").alias("package"), F.lit(1.0).alias("inst"), F.lit(0.5).alias("rdep"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = ranking.rank_files(files.select("docid", "path"), popular.groupBy("package").agg(F.max("inst").alias("inst"), F.max("rdep").alias("rdep")), rewrite("zero"))
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_scalar_functions(spark):
     row = spark.createDataFrame([("<a href='x'>&\"", "a.tar.gz", "x.tar.gz.asc", "libfoo")], "h string, t string, u string, s string")
     out = row.select(T.html_escape(F.col("h")).alias("h"), T.is_tar(F.col("t")).alias("t"), T.is_tar(F.col("u")).alias("u"), T.pool_folder(F.col("s")).alias("s"), T.extension(F.lit("a.b/c.PY")).alias("e"), T.human_bytes(F.lit(1536)).alias("k"), T.human_bytes(F.lit(5 << 40)).alias("g"), T.leading_spaces(F.lit("\t  x")).alias("n")).first()
