@@ -17,17 +17,25 @@ BLANKS = 0x202020
 #: Docids in a block of a decoded list.
 BLOCK = 1 << 20
 _BLOCK = 1 << 20
+#: Bytes of text in a sorted run of a written index, and its postings in a batch.
+RUN, _SENT = 8 << 20, 1 << 16
 
 
-def _rows(ids: pa.Array, texts: pa.Array, positions: bool, wanted: np.ndarray | None) -> pa.RecordBatch:
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, one after the other, and the places between which each lies."""
     if pa.types.is_large_binary(texts.type) or pa.types.is_binary(texts.type):
         texts = texts.cast(pa.large_binary())
     else:
         texts = texts.cast(pa.large_string())
     _, offsets, data = texts.buffers()
     bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64) if data is not None and bounds[-1] > bounds[0] else np.zeros(0, dtype=np.uint64)
-    bounds = bounds - bounds[0]
+    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data is not None and bounds[-1] > bounds[0] else np.zeros(0, dtype=np.uint8)
+    return raw, bounds - bounds[0]
+
+
+def _rows(ids: pa.Array, texts: pa.Array, positions: bool, wanted: np.ndarray | None) -> pa.RecordBatch:
+    raw, bounds = _bytes(texts)
+    raw = raw.astype(np.uint64)
     n = max(0, len(raw) - 2)
     code = (raw[:n] << np.uint64(16) | raw[1 : n + 1] << np.uint64(8) | raw[2:]) if n else raw[:0]
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))[:n]
@@ -76,16 +84,74 @@ def postings(files: DataFrame, docid: str = "docid", content: str = "content", p
     return rows.mapInArrow(run, f"trigram int, docid {kind}, n int" + ", positions array<int>" * positions)
 
 
+def _run(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The postings of some texts by trigram, then in the texts' order: one sort of numbers, a trigram above the place where it begins."""
+    raw, bounds = _bytes(texts)
+    n = max(0, len(raw) - 2)
+    ends = np.concatenate((bounds[1:] - 1, bounds[1:] - 2))
+    inside = np.ones(n, dtype=bool)
+    inside[ends[(ends >= 0) & (ends < n)]] = False
+    at = np.flatnonzero(inside).astype(np.uint64)
+    raw = raw.astype(np.uint32)
+    key = (raw[:n] << np.uint32(16) | raw[1 : n + 1] << np.uint32(8) | raw[2:])[inside].astype(np.uint64) << np.uint64(32) | at if n else at
+    key.sort()
+    at, code = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))[at]
+    first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])))) if len(at) else np.zeros(0, dtype=np.int64)
+    lists = np.append(first, len(at)).astype(np.int32)
+    place = (at - bounds[owner]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(code[first]), ids.take(pa.array(owner[first])), pa.array(np.diff(lists)), pa.ListArray.from_arrays(pa.array(lists), pa.array(place))], ["trigram", "docid", "n", "positions"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(docids, texts) of up to ``most`` bytes of text, or one text that is longer, whatever the batches' bounds."""
+    held, room = [], most
+    for batch in batches:
+        ids, texts = batch.column("docid"), batch.column("content")
+        texts = texts.cast(pa.large_binary() if pa.types.is_large_binary(texts.type) or pa.types.is_binary(texts.type) else pa.large_string())
+        size, start = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while start < len(texts):
+            before = size[start - 1] if start else 0
+            end = max(int(np.searchsorted(size, before + room, side="right")), start + (not held))
+            if end > start:
+                held.append((ids.slice(start, end - start), texts.slice(start, end - start)))
+                room -= size[end - 1] - before
+            if end < len(texts):
+                yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+                held, room = [], most
+            start = end
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+
+
+def runs(files: DataFrame, most: int = RUN) -> DataFrame:
+    """The postings of :func:`postings` with positions, each task's in runs of ``most`` bytes of text that are sorted by trigram. Nothing is shuffled."""
+    rows = files.select("docid", "content").where("docid IS NOT NULL AND content IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _gathered(batches, most):
+            postings = _run(ids, texts)
+            yield from (postings.slice(i, _SENT) for i in range(0, postings.num_rows, _SENT))
+
+    return rows.mapInArrow(run, f"trigram int, docid {rows.schema['docid'].dataType.simpleString()}, n int, positions array<int>")
+
+
 #: An index: a table of postings, or what makes one of the trigrams that are asked for.
 Index = DataFrame | Callable[[list[bytes]], DataFrame]
 
 
 def write_index(files: DataFrame, folder: str, partitions: int | None = None) -> None:
-    """Write postings as Parquet, ranged and sorted by trigram, so that a lookup reads few row groups; see :mod:`store` for publishing."""
-    index = postings(files)
-    keys = ("trigram", "docid")  # a trigram that most files have fills several ranges
-    index = index.repartitionByRange(partitions, *keys) if partitions else index.repartitionByRange(*keys)
-    index.sortWithinPartitions("trigram", "docid").write.parquet(folder)
+    """Write postings as Parquet; see :mod:`store` for publishing.
+
+    Each task writes those of its own files, in sorted runs: postings are several times as large as their texts, so
+    they aren't moved. A lookup skips all but a page or two of each run by the pages' bounds. With
+    ``partitions``, they are ranged and sorted as a whole, by trigram and docid, over so many files.
+    """
+    if partitions:
+        keys = ("trigram", "docid")  # a trigram that most files have fills several ranges
+        postings(files).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.parquet(folder)
+    else:
+        runs(files).write.parquet(folder)
 
 
 def listed(index: Index, trigrams: list[bytes]) -> DataFrame:

@@ -229,6 +229,26 @@ def test_written_index(spark, files, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "ix")).collect())) == sorted(map(tuple, postings.postings(files).collect()))
 
 
+def test_an_index_is_written_without_moving_it(spark, files, tmp_path):
+    """In runs that are sorted by trigram and hold the same postings, wherever batches end; the plan has no exchange."""
+    many = spark.createDataFrame([(i, None if i % 40 == 7 else ("", "a", "ab", "abc é", "zero " * 30, "x" * 700)[i % 6] + str(i)[: i % 3]) for i in range(300)], "docid bigint, content string")
+    want = sorted(map(tuple, postings.postings(many).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (1, 500, 5000, postings.RUN):
+            assert sorted(map(tuple, postings.runs(many.coalesce(1), most).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = [(r.trigram, r.docid) for r in postings.runs(many.coalesce(1)).collect()]
+    assert keys == sorted(keys)
+    assert "Exchange" not in postings.runs(many)._jdf.queryExecution().executedPlan().toString()
+    postings.write_index(files, str(tmp_path / "ix"))
+    store = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = {store.apply(i).executionId(): store.apply(i).physicalPlanDescription() for i in range(store.size())}
+    assert "parquet" in plans[max(plans)].lower() and "Exchange" not in plans[max(plans)]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "ix")).collect())) == sorted(map(tuple, postings.postings(files).collect()))
+
+
 def test_streams(spark, files, tmp_path):
     from quarry.streaming import ingest
 
