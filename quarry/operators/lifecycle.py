@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 IDLE_S, LATEST_S = 120, 600
 RETRY_S, GIVE_UP_S = 8, 25 * 60
+#: How often the longer time fits into a part of a shard's requests; rows that are looked at together, or more.
+SPAN, TOGETHER = 64, 1 << 16
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -24,35 +31,126 @@ def garbage(present: DataFrame, desired: DataFrame, key: str) -> DataFrame:
     return present.join(desired.select(key).distinct(), key, "left_anti")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of whole groups, each of which begins where ``k`` is 1; ``most`` groups at once."""
+    def cut(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bounds = np.append(np.flatnonzero(rows.column("k").to_numpy() == 1)[::most], rows.num_rows)
+        yield from (rows.slice(i, j - i) for i, j in zip(bounds[:-1], bounds[1:], strict=True))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        begins = np.flatnonzero(batch.column("k").to_numpy() == 1)
+        if len(begins) and sum(b.num_rows for b in held) + batch.num_rows >= TOGETHER:
+            yield from cut(pa.concat_batches([*held, batch.slice(0, begins[-1])]))
+            held, batch = [], batch.slice(begins[-1])
+        held.append(batch)
+    if held:
+        yield from cut(pa.concat_batches(held))
+
+
+class _Walk:
+    """Requests of parts: ``base`` of each, whether it lies in its part (``own``), begins a merge whatever came before (``starts``), and where the merge that it might begin ends (``next``)."""
+
+    def __init__(self, rows: pa.RecordBatch, span: int, idle: int, latest: int):
+        self.us = rows.column("us").to_numpy()
+        new = rows.column("k").to_numpy() == 1
+        self.group = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        self.end = np.append(self.first[1:], len(new))
+        at = self.us - rows.column("part").to_numpy() * span
+        self.own = (at >= 0) & (at < span)
+        self.starts = new | (np.diff(self.us, prepend=self.us[:1]) >= idle)
+        places = np.arange(len(new) + 1)
+        upcoming = np.minimum.accumulate(np.append(np.where(self.starts, places[:-1], len(new)), len(new))[::-1])[::-1][1:]
+        key = self.group * _width(span, idle, latest) + at + idle
+        self.next = np.minimum(np.maximum(np.searchsorted(key, key + latest), places[1:]), upcoming)
+
+    def goes_on(self, i: np.ndarray) -> np.ndarray:
+        """Whether a merge that ends before ``i`` ends by time, so that another one begins there."""
+        inside = i < len(self.us)
+        return inside & ~self.starts[np.where(inside, i, 0)]
+
+
+def _width(span: int, idle: int, latest: int) -> int:
+    return span + 2 * latest + 3 * idle + 2
+
+
 def merge_triggers(requests: DataFrame, shard: str = "shard", ts: str = "ts", idle: float = IDLE_S, latest: float = LATEST_S) -> DataFrame:
     """(shard, requests, first, last, fires) of the merges that requests of each shard lead to.
 
     A merge runs once its shard has been idle for so long, or so long after its first
-    request. A burst that ends by idleness is a session, found by a built-in window and
-    combined before it moves; only those that last beyond the latest time are folded
-    request by request, over the sorted distinct times with their counts, by a built-in aggregate.
+    request. What a request begins depends on the one before, so a busy shard would be a
+    chain in one task. It is cut into parts of SPAN times the longer time, each with the requests around that
+    a merge may reach. A part tells for each request with which a merge may enter it with which one the next
+    part is entered, if it is; neighbours mostly leave alike. Only these are followed from part to part, and
+    then each part lists its merges from its own way in and from each pause.
     """
+    pause, most = round(idle * 1_000_000), round(latest * 1_000_000)
+    span = SPAN * max(pause, most, 1)
     rows = requests.select(F.col(shard).alias("shard"), F.col(ts).cast("timestamp").alias("ts")).where("shard IS NOT NULL AND ts IS NOT NULL")
-    after = lambda c, s: c + F.make_dt_interval(secs=F.lit(s))
-    counted = rows.groupBy("shard", "ts").agg(F.count(F.lit(1)).alias("n"))
-    session = F.session_window("ts", f"{round(idle * 1_000_000) - 1} microseconds")  # windows that touch are one; a pause of just ``idle`` ends a merge
-    times = F.array_sort(F.collect_list(F.struct("ts", "n"))).alias("times")
-    whole = counted.groupBy("shard", session).agg(F.sum("n").alias("requests"), F.min("ts").alias("first"), F.max("ts").alias("last"), times)
-    long = F.col("last") >= after(F.col("first"), latest)
-    merge = lambda t: F.struct(t["ts"].alias("first"), t["ts"].alias("last"), t["n"].alias("requests"))
-    kind = "array<struct<first: timestamp, last: timestamp, requests: bigint>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.element_at(F.transform("times", merge), 1).alias("open"))
-
-    def step(state: Column, t: Column) -> Column:
-        now = state["open"]
-        grown = F.struct(now["first"].alias("first"), t["ts"].alias("last"), (now["requests"] + t["n"]).alias("requests"))
-        due = t["ts"] >= after(now["first"], latest)
-        return F.when(due, F.struct(F.concat(state["done"], F.array(now)).alias("done"), merge(t).alias("open"))).otherwise(F.struct(state["done"].alias("done"), grown.alias("open")))
-
-    folded = F.aggregate(F.slice("times", 2, F.size("times")), start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
-    short = F.array(F.struct("first", "last", "requests"))
-    merges = whole.select("shard", F.inline(F.when(long, folded).otherwise(short)))
-    return merges.select("shard", "requests", "first", "last", F.least(after(F.col("last"), idle), after(F.col("first"), latest)).alias("fires"))
+    counted = rows.groupBy("shard", F.unix_micros("ts").alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    part_of = lambda us: ((us - F.pmod(us, F.lit(span))) / span).cast("bigint")
+    near = F.array_distinct(F.array(*[part_of(F.col("us") + shift) for shift in (-most - pause, 0, pause)]))
+    parts = counted.select("shard", F.explode(near).alias("part"), "us", "n")
+    numbered = F.row_number().over(Window.partitionBy("shard", "part").orderBy("us")).alias("k")
+    at_once = max(1, (1 << 62) // _width(span, pause, most))
+    of_shard, whole = parts.schema["shard"], lambda *names: [StructField(n, LongType()) for n in names]
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shard, part, entry, exit): with which request the next part is entered, null if with none, by the last of the neighbours that lead there; without an entry if a pause decides."""
+        for rows in _groups(batches, at_once):
+            w = _Walk(rows, span, pause, most)
+            pauses = np.flatnonzero(w.starts & w.own)
+            decided = np.full(len(w.first), -1)
+            decided[w.group[pauses]] = pauses  # the last one of each
+            open_ = np.flatnonzero(w.own & (decided[w.group] < 0) & (w.us - rows.column("part").to_numpy() * span < most + pause))
+            entry = np.concatenate((decided[decided >= 0], open_))
+            fixed = np.arange(len(entry)) < (decided >= 0).sum()
+            now, going = entry.copy(), np.ones(len(entry), dtype=bool)
+            while going.any():
+                now[going] = w.next[now[going]]
+                going &= w.goes_on(now)
+                going[going] = w.own[now[going]]
+            out = np.where(w.goes_on(now), now, -1)
+            kept = ~fixed | (out >= 0)
+            kept[:-1] &= fixed[:-1] | fixed[1:] | (out[:-1] != out[1:]) | (w.group[entry[:-1]] != w.group[entry[1:]])  # the last of those that leave alike
+            entry, fixed, out = entry[kept], fixed[kept], out[kept]
+            yield pa.RecordBatch.from_arrays([rows.column("shard").take(pa.array(entry)), rows.column("part").take(pa.array(entry)), pa.array(w.us[entry], mask=fixed), pa.array(w.us[out], mask=out < 0)], ["shard", "part", "entry", "exit"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shard, part, entry): with which request a merge really enters a part."""
+        at = value = done = None
+        for batch in batches:
+            taken, into = [], []
+            for i, (k, part, entry, out) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("k", "part", "entry", "exit")], strict=True)):
+                if k == 1:
+                    at = value = done = None
+                if part != done and (entry is None or part == at and entry >= value):
+                    at, value, done = None if out is None else part + 1, out, part
+                    if out is not None:
+                        taken.append(i)
+                        into.append((at, value))
+            columns = [batch.column("shard").take(pa.array(taken, pa.int64())), *[pa.array([x[j] for x in into], pa.int64()) for j in (0, 1)]]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "part", "entry"])
+
+    def merges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, at_once):
+            w = _Walk(rows, span, pause, most)
+            before = np.concatenate(([0], np.cumsum(rows.column("n").to_numpy())))
+            entered = rows.column("entry").fill_null(np.iinfo(np.int64).min).to_numpy() == w.us
+            now = np.flatnonzero(w.own & (w.starts | entered))
+            while len(now):
+                end = w.next[now]
+                yield pa.RecordBatch.from_arrays([rows.column("shard").take(pa.array(now)), pa.array(before[end] - before[now]), pa.array(w.us[now]), pa.array(w.us[end - 1])], ["shard", "requests", "first", "last"])
+                now = end[w.goes_on(end)]
+                now = now[w.own[now]]
+
+    table = parts.select("shard", "part", "us", "n", numbered).mapInArrow(ways, StructType([of_shard, *whole("part", "entry", "exit")]))
+    in_order = F.row_number().over(Window.partitionBy("shard").orderBy("part", F.asc_nulls_first("entry"))).alias("k")
+    entries = table.select("shard", "part", "entry", "exit", in_order).mapInArrow(follow, StructType([of_shard, *whole("part", "entry")]))
+    found = parts.join(entries, ["shard", "part"], "left").select("shard", "part", "us", "n", "entry", numbered).mapInArrow(merges, StructType([of_shard, *whole("requests", "first", "last")]))
+    fires = F.least(F.col("last") + pause, F.col("first") + most)
+    return found.select("shard", "requests", *[F.timestamp_micros(c).alias(name) for c, name in ((F.col("first"), "first"), (F.col("last"), "last"), (fires, "fires"))])
 
 
 def retry_times(first: float = RETRY_S, limit: float = GIVE_UP_S) -> list[float]:

@@ -194,6 +194,32 @@ def test_merges_against_a_loop(spark):
     assert lifecycle.retry_times() == [8, 16, 32, 64, 128, 256, 512] and sum(lifecycle.retry_times()) < 1500
 
 
+def test_a_busy_shard_is_cut_into_parts(spark, monkeypatch):
+    """Merges that go on over many parts, pauses just below, at and above the limit, equal times, times before 1970; no task has a shard's requests."""
+    import random
+
+    r = random.Random(5)
+    monkeypatch.setattr(lifecycle, "SPAN", 3)
+    monkeypatch.setattr(lifecycle, "TOGETHER", 50)
+    for idle, latest, steps in ((120, 600, (1, 30, 119, 120, 121)), (120, 600, (0, 1, 7, 61)), (50, 10, (1, 9, 10, 49, 50)), (10, 0, (0, 1, 11)), (0, 10, (0, 3))):
+        rows, want = [], []
+        for shard in range(4):
+            times, t = [], r.randrange(-9000, 9000)
+            for _ in range(300 if shard else 1):
+                t += r.choice(steps)
+                times.append(t)
+            rows += [(str(shard), t) for t in times]
+            distinct = sorted(set(times))
+            found = [[a, b, sum(a <= t <= b for t in times)] for a, b, _ in greedy(distinct, idle, latest)]
+            want += [(str(shard), n, a * 10**6, b * 10**6, min(b + idle, a + latest) * 10**6) for a, b, n in found]
+        requests = spark.createDataFrame(rows, "shard string, t bigint").select("shard", F.timestamp_seconds("t").alias("ts"))
+        out = lifecycle.merge_triggers(requests, idle=idle, latest=latest)
+        got = out.select("shard", "requests", *[F.unix_micros(c) for c in ("first", "last", "fires")]).collect()
+        assert sorted(map(tuple, got)) == sorted(want), (idle, latest, steps)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert lifecycle.merge_triggers(spark.createDataFrame([(None, None)], "shard string, ts timestamp")).count() == 0
+
+
 def test_click_log(spark):
     rows = spark.createDataFrame([("a/b", 3, "x"), ("", 3, "x"), (None, 3, "x"), ("a", None, "x"), ("é" * 3000, 1, "y")], "path string, line int, query string")
     lines = [r.value for r in lifecycle.clicks(rows).collect()]
