@@ -58,6 +58,19 @@ def test_a_written_index_is_sorted_and_pruned(spark, files, tmp_path):
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, postings.listed(postings.postings(files), [b"zer"]).collect()))
 
 
+def test_a_search_by_a_published_index_moves_no_postings(spark, files, tmp_path):
+    from quarry.search import search
+
+    store_of = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = {store_of().apply(i).executionId() for i in range(store_of().size())}
+    store.publish_index(files, str(tmp_path / "ix"))
+    found = search(files, "zero_1", index=store.index(spark, str(tmp_path / "ix"))).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, search(files, "zero_1").collect())) and len(found) == 11
+    runs = [store_of().apply(i) for i in range(store_of().size())]
+    plans = [x.physicalPlanDescription() for x in runs if x.executionId() not in before]
+    assert plans and not any("rangepartitioning" in p for p in plans)
+
+
 def test_ranking_table(spark, tmp_path):
     table = spark.createDataFrame([("a", 1.5, 0.25), ("b", 0.0, 0.5)], "package string, inst double, rdep double")
     popularity.write_ranking(table, str(tmp_path / "r"))
